@@ -167,11 +167,12 @@ def comparison_levels(label: Column, difficulty: Column) -> Column:
 def stratified(scored: DataFrame, dimensions: Mapping[str, Column]) -> DataFrame:
     """One row per (row, dimension, level): a value may be a level or an array of levels."""
     types = dict(scored.select(*[c.alias(n) for n, c in dimensions.items()]).dtypes)
-    arrays = [
-        F.transform(c if types[n].startswith("array") else F.array(c.cast("string")),
-                    lambda level, n=n: F.struct(F.lit(n).alias("dimension"), level.alias("level")))
-        for n, c in dimensions.items()
-    ]
+
+    def tagged(name: str, value: Column) -> Column:
+        levels = value if types[name].startswith("array") else F.array(value.cast("string"))
+        return F.transform(levels, lambda level: F.struct(F.lit(name).alias("dimension"), level.alias("level")))
+
+    arrays = [tagged(n, c) for n, c in dimensions.items()]
     return scored.withColumn("_d", F.explode(F.concat(*arrays))).select("*", "_d.*").drop("_d")
 
 

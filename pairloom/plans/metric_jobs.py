@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bins import edge_bin, tertile
 from ..operators import bootstrap as B
 from ..operators import metrics as M
-from ..operators import pairs as P
-from ..operators.ordering import exact_quantiles, running_totals
+from ..operators.ordering import exact_quantiles
+from ..operators.review import error_class
 from . import views as V
 from .registry import query
 
@@ -248,13 +246,7 @@ FROM scored JOIN lock USING (system) GROUP BY ALL""")
 def error_classes(spark, folder):
     scored = V.scored(spark, folder)
     known = scored.join(F.broadcast(lock_of(scored)), "system")
-    return known.groupBy("split", "system", error_type(F.col("recall_threshold")).alias("error_type")).agg(F.count(F.lit(1)).alias("pairs"))
-
-
-def error_type(threshold):
-    from ..operators.review import error_class
-
-    return error_class(F.col("label"), F.col("score"), threshold)
+    return known.groupBy("split", "system", error_class(F.col("label"), F.col("score"), F.col("recall_threshold")).alias("error_type")).agg(F.count(F.lit(1)).alias("pairs"))
 
 
 @query("J13_locked_broadcast", f"""WITH {V.SCORED}{LOCK}
@@ -294,8 +286,8 @@ def replicate_sql(source: str, keys: str, w: str = "w", p: str = "") -> str:
 
 TEST = "SELECT * FROM scored WHERE split = 'test'"
 RATES_SQL = f""",
-rr AS (SELECT replicate, system, sum(weight) FILTER (label = 1 AND score >= f1_threshold) AS tp, sum(weight) FILTER (label = 0 AND score >= f1_threshold) AS fp,
-   sum(weight) FILTER (label = 1 AND score < f1_threshold) AS fn, coalesce(sum(weight) FILTER (label = 0 AND score >= recall_threshold), 0) AS rfp, sum(weight) FILTER (label = 0) AS nn
+rr AS (SELECT replicate, system, coalesce(sum(weight) FILTER (label = 1 AND score >= f1_threshold), 0) AS tp, coalesce(sum(weight) FILTER (label = 0 AND score >= f1_threshold), 0) AS fp,
+   coalesce(sum(weight) FILTER (label = 1 AND score < f1_threshold), 0) AS fn, coalesce(sum(weight) FILTER (label = 0 AND score >= recall_threshold), 0) AS rfp, sum(weight) FILTER (label = 0) AS nn
  FROM ({TEST}) JOIN lock USING (system) JOIN w USING (cluster_id) GROUP BY ALL),
 allm AS MATERIALIZED (SELECT replicate, system, unnest(['auroc', 'average_precision', 'f1', 'false_match_rate']) AS metric,
   unnest([auroc, average_precision, 2 * tp / (2 * tp + fp + fn), rfp / nn]) AS value FROM rm JOIN rr USING (replicate, system))"""
@@ -383,7 +375,7 @@ def positive_negative_wins(spark, folder):
 
 
 @query("A26_auc_sufficient_statistic", f"""WITH {V.SCORED}{MATRIX_SQL}, n AS (SELECT system, sum(label) AS positives, count(*) - sum(label) AS negatives FROM ({TEST}) GROUP BY 1)
-SELECT system, positives::BIGINT AS positives, negatives::BIGINT AS negatives, round(sum(wins) / positives / negatives, 9) AS auroc FROM wins JOIN n USING (system) GROUP BY ALL""")
+SELECT system, max(positives)::BIGINT AS positives, max(negatives)::BIGINT AS negatives, round(sum(wins) / max(positives) / max(negatives), 9) AS auroc FROM wins JOIN n USING (system) GROUP BY system""")
 def auc_statistic(spark, folder):
     rows = test_rows(V.scored(spark, folder))
     counts = B.class_counts(rows).groupBy("system").agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
