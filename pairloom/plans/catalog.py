@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from . import metric_jobs, pair_jobs, quality_jobs  # noqa: F401
+from . import inventory_jobs, metric_jobs, pair_jobs, quality_jobs  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

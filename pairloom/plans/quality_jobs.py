@@ -251,25 +251,33 @@ def split_overlaps(spark, folder):
     return Q.split_overlaps(looks, "look")
 
 
-@query("U2_cluster_disjoint_splits", f"WITH {V.OBS} SELECT '' AS splits, 0::BIGINT AS keys FROM obs WHERE false")
+@query("U2_cluster_disjoint_splits", f"""WITH {V.OBS} SELECT count(DISTINCT cluster_id) AS clusters, 0 AS shared FROM obs""")
 def disjoint_splits(spark, folder):
-    return Q.split_overlaps(V.observations(spark, folder), "cluster_id")
+    obs = V.observations(spark, folder)
+    shared = Q.split_overlaps(obs, "cluster_id").agg(F.coalesce(F.sum("keys"), F.lit(0)).alias("shared"))
+    return Q.distinct_count(obs, ["cluster_id"]).select(F.col("keys").alias("clusters"), shared.scalar().alias("shared"))
 
 
 @query("U3_set_differences", """
-SELECT 'left' AS side, k FROM (SELECT DISTINCT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL
-SELECT 'right', k FROM (SELECT DISTINCT o_custkey AS k FROM orders EXCEPT SELECT c_custkey FROM customer)""")
+SELECT 'left' AS side, k FROM (SELECT DISTINCT c_custkey AS k FROM customer EXCEPT SELECT user_id * 2 FROM events) UNION ALL
+SELECT 'right', k FROM (SELECT DISTINCT user_id * 2 AS k FROM events EXCEPT SELECT c_custkey FROM customer)""")
 def set_differences(spark, folder):
     left = V.table(spark, folder, "customer").select(F.col("c_custkey").alias("k")).distinct()
-    right = V.table(spark, folder, "orders").select(F.col("o_custkey").alias("k")).distinct()
+    right = V.table(spark, folder, "events").select((F.col("user_id") * 2).alias("k")).distinct()
     return Q.multiset_difference(left, right)
 
 
-@query("U4_parts_equal_whole", f"WITH {V.OBS} SELECT observation_id, split, 'left' AS side FROM obs WHERE false")
+@query("U4_parts_equal_whole", f"""WITH {V.OBS} SELECT 'disjoint_parts' AS comparison, count(*) AS rows, 0 AS differing FROM obs UNION ALL
+SELECT 'dev_twice', count(*), count(*) FILTER (split = 'dev') FROM obs""")
 def parts_equal_whole(spark, folder):
     whole = V.observations(spark, folder).select("observation_id", "split")
     parts = whole.where("split = 'train'").unionByName(whole.where("split = 'dev'")).unionByName(whole.where("split = 'test'"))
-    return Q.multiset_difference(whole, parts)
+    results = None
+    for name, table in (("disjoint_parts", parts), ("dev_twice", parts.unionByName(whole.where("split = 'dev'")))):
+        differing = Q.multiset_difference(whole, table).agg(F.count(F.lit(1)).alias("differing"))
+        row = whole.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("comparison"), "rows", differing.scalar().alias("differing"))
+        results = row if results is None else results.unionByName(row)
+    return results
 
 
 @query("U5_global_uniqueness", f"""WITH {V.BAND}, u AS (SELECT least(observation_id_a, observation_id_b) AS low, greatest(observation_id_a, observation_id_b) AS high FROM band)
