@@ -76,7 +76,7 @@ def static_stability(observations: DataFrame, track: Sequence[str], keys: Sequen
     wide = medians.groupBy(*keys).agg(
         *[F.max(F.when(F.col("space") == s, F.col("m"))).alias(f"{s}_median") for s in gaps]
     )
-    out = wide.join(tracks, list(keys)) if keys else wide.join(F.broadcast(tracks))
+    out = wide.join(tracks, list(keys)) if keys else wide.withColumn("tracks", tracks.scalar())
     return out.withColumns(
         {
             "ratio": F.col("world_median") / F.greatest("camera_median", F.lit(1e-12)),

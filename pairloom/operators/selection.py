@@ -133,18 +133,21 @@ def _moments(prefix: str, fields: Sequence[str]) -> list[Column]:
     return [F.struct(F.avg(f).alias("mu"), F.var_samp(f).alias("va"), F.stddev_pop(f).alias("sd")).alias(f"{prefix}{f}") for f in fields]
 
 
+def _parent_moments(parent: DataFrame, fields: Sequence[str]) -> Column:
+    """The moments of every field as one struct, read through a scalar subquery."""
+    return parent.agg(F.struct(*_moments("", fields))).scalar()
+
+
 def subset_differences(parent: DataFrame, subset: DataFrame, fields: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """(keys, field, smd) of subsets against their parent; null where nothing varies."""
-    whole = parent.agg(*_moments("_p_", fields))
-    parts = subset.groupBy(*keys).agg(*_moments("_s_", fields))
+    parts = subset.groupBy(*keys).agg(*_moments("_s_", fields)).withColumn("_p", _parent_moments(parent, fields))
 
     def smd(f: str) -> Column:
-        pooled = F.sqrt((F.col(f"_p_{f}.va") + F.col(f"_s_{f}.va")) / 2)
-        return F.when(pooled > FLAT, F.abs(F.col(f"_s_{f}.mu") - F.col(f"_p_{f}.mu")) / pooled)
+        pooled = F.sqrt((F.col(f"_p.{f}.va") + F.col(f"_s_{f}.va")) / 2)
+        return F.when(pooled > FLAT, F.abs(F.col(f"_s_{f}.mu") - F.col(f"_p.{f}.mu")) / pooled)
 
     listed = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), smd(f).alias("smd")) for f in fields]))
-    # The parent side is a single row of moments.
-    return parts.join(F.broadcast(whole)).select(*keys, listed.alias("_v")).select(*keys, "_v.*")
+    return parts.select(*keys, listed.alias("_v")).select(*keys, "_v.*")
 
 
 def balanced_split(df: DataFrame, fields: Sequence[str], tries: int, seed, key: str = "cluster_id") -> DataFrame:
@@ -178,12 +181,13 @@ def balanced_subsample(df: DataFrame, fields: Sequence[str], count: int, tries:
     placed = ranked(copies, ["try", stratum], ["_draw", key], slicer=hex_slice(F.col("_draw")))
     taken = placed.join(allocation, stratum).where(F.col("rank") < F.col("allocated"))
 
-    whole = df.agg(F.count(F.lit(1)).alias("_n"), *_moments("_p_", fields))
-    parts = taken.groupBy("try").agg(*_moments("_s_", fields)).join(F.broadcast(whole))
+    parts = taken.groupBy("try").agg(*_moments("_s_", fields)).withColumns(
+        {"_p": _parent_moments(df, fields), "_n": df.agg(F.count(F.lit(1))).scalar()}
+    )
     shift = F.lit(0.0)
     for f in fields:
-        sd = F.col(f"_p_{f}.sd")
-        term = 20 * F.pow((F.col(f"_s_{f}.mu") - F.col(f"_p_{f}.mu")) / sd, 2) + 2 * F.pow((F.col(f"_s_{f}.sd") - sd) / sd, 2)
+        sd = F.col(f"_p.{f}.sd")
+        term = 20 * F.pow((F.col(f"_s_{f}.mu") - F.col(f"_p.{f}.mu")) / sd, 2) + 2 * F.pow((F.col(f"_s_{f}.sd") - sd) / sd, 2)
         shift = shift + F.when(sd > FLAT, term).otherwise(0.0)
     moments = parts.select("try", shift.alias("shift"), "_n")
 
@@ -202,14 +206,14 @@ def balanced_subsample(df: DataFrame, fields: Sequence[str], count: int, tries:
 
 def min_max_scaled(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Fields scaled to [0, 1]; a constant field becomes 0."""
-    ends = df.agg(*[F.min(f).cast("double").alias(f"_lo_{f}") for f in fields], *[F.max(f).cast("double").alias(f"_hi_{f}") for f in fields])
+    ends = df.agg(F.struct(*[F.struct(F.min(f).cast("double").alias("lo"), F.max(f).cast("double").alias("hi")).alias(f) for f in fields])).scalar()
 
     def scaled(f: str) -> Column:
-        span = F.col(f"_hi_{f}") - F.col(f"_lo_{f}")
-        return (F.col(f) - F.col(f"_lo_{f}")) / F.when(span == 0, 1.0).otherwise(span)
+        span = F.col(f"_ends.{f}.hi") - F.col(f"_ends.{f}.lo")
+        return (F.col(f) - F.col(f"_ends.{f}.lo")) / F.when(span == 0, 1.0).otherwise(span)
 
     kept = [c for c in df.columns if c not in fields]
-    return df.join(F.broadcast(ends)).select(*kept, *[scaled(f).alias(f) for f in fields])
+    return df.withColumn("_ends", ends).select(*kept, *[scaled(f).alias(f) for f in fields])
 
 
 def farthest_first(df: DataFrame, fields: Sequence[str], count: int, seed, key: str = "cluster_id") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,19 +24,30 @@ def local_session(cores: int = 8, name: str = "pairloom") -> SparkSession:
     )
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it back.
-
-    The folder comes from ``spark.checkpoint.dir``. Only a local session without
-    that setting gets a folder of its own; a cluster without it is an error,
-    since a machine-local folder would be lost with its executor.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Only a local session without that setting
+    gets a folder of its own; a cluster without it is an error, since a machine-local
+    folder would be lost with its executor.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
+    context = spark.sparkContext
+    current = context.getCheckpointDir()
+    if current is None:
         folder = context.getConf().get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(folder)
+        current = context.getCheckpointDir()
+    return current
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has written to."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the reliable checkpoint folder and read it back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

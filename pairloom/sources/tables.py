@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,21 +35,21 @@ def write_table(df: DataFrame, path: str, partition: str | None = "split") -> No
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 
 
-def shard_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Shards present, shards promised by the names, and completeness.
-
-    Reads only file metadata columns.
-    """
-    name = F.col("_metadata.file_name")
-    files = spark.read.parquet(folder).select(
-        F.regexp_extract(name, SHARD_NAME, 1).cast("int").alias("index"),
-        F.regexp_extract(name, SHARD_NAME, 2).cast("int").alias("total"),
+def shard_counts(files: DataFrame, name: Column) -> DataFrame:
+    """Shards present, shards promised by their names, and completeness."""
+    seen = files.select(
+        F.regexp_extract(name, SHARD_NAME, 1).cast("int").alias("index"), F.regexp_extract(name, SHARD_NAME, 2).cast("int").alias("total")
     ).distinct()
-    return files.agg(
-        F.count_distinct("index").alias("present"), F.max("total").alias("total"), F.count_distinct("total").alias("totals"),
+    return seen.agg(
+        F.count_distinct("index").alias("present"), F.max("total").alias("total"), F.count_distinct("total").alias("totals")
     ).withColumn("complete", (F.col("present") == F.col("total")) & (F.col("totals") == 1))
 
 
+def shard_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Completeness of a folder of shards; reads no data columns."""
+    return shard_counts(spark.read.parquet(folder), F.col("_metadata.file_name"))
+
+
 def read_shards(spark: SparkSession, folder: str, require_complete: bool = True) -> DataFrame:
     report = shard_report(spark, folder).first()
     if require_complete and not report["complete"]:
