@@ -47,25 +47,66 @@ def capped(df: DataFrame, prior: Column, cap: int, keys: Sequence[str], order: S
     )
 
 
-def first_by_level(df: DataFrame, group: Sequence[str], levels: Sequence[str], draw: str, tie: str,
-                   target: Column) -> DataFrame:
-    """The first ``target`` rows of each group ordered by (levels, draw, tie).
+def _cuts(pool: DataFrame, levels: Sequence[str], quota: Mapping[str, int]) -> dict[str, tuple]:
+    """Per split, the last level of the sample and the largest draw it takes there.
 
-    Only level counts are ordered in one place; the rows of the one level that
-    is cut are ranked in hash slices.
+    Only counts per level (at most the cap, per split) and one draw per split
+    reach the driver.
     """
-    counts = df.groupBy(*group, *levels).agg(F.count(F.lit(1)).alias("_n"), F.max(target).alias("_target"))
-    earlier = (
-        Window.partitionBy(*group).orderBy(*levels).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    marks = counts.withColumn("_taken", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).where(
-        F.col("_taken") < F.col("_target")
+    counts = pool.groupBy("split", *levels).agg(F.count(F.lit(1)).alias("n")).orderBy("split", *levels).collect()
+    cuts: dict[str, tuple] = {}
+    for split, wanted in quota.items():
+        taken = 0
+        for row in (r for r in counts if r["split"] == split):
+            level = tuple(row[name] for name in levels)
+            if taken + row["n"] >= wanted:
+                cuts[split] = (level, wanted - taken)
+                break
+            taken += row["n"]
+        else:
+            cuts[split] = (None, 0)
+    at_cut = F.lit(False)
+    for split, (level, _) in cuts.items():
+        if level is not None:
+            at_cut = at_cut | ((F.col("split") == split) & _equal(levels, level))
+    order = Window.partitionBy("split").orderBy("_draw", "cluster_id")
+    places = {s: take for s, (_, take) in cuts.items()}
+    edge = (
+        pool.where(at_cut).select("split", "_draw", "cluster_id")
+        .withColumn("_rn", F.row_number().over(order))
+        .where((F.col("_rn") <= max(places.values())) & (F.col("_rn") <= _literal_targets(places, "split")))
+        .groupBy("split").agg(F.max(F.struct("_draw", "cluster_id")).alias("e"))
     )
-    reached = df.join(marks, [*group, *levels])
-    whole = F.col("_taken") + F.col("_n") <= F.col("_target")
-    cut = ranked(reached.where(~whole), group, [draw, tie], slicer=hex_slice(F.col(draw)))
-    kept = cut.where(F.col("_taken") + F.col("rank") < F.col("_target")).drop("rank", "size")
-    return reached.where(whole).unionByName(kept).drop("_n", "_target", "_taken")
+    edges = {r["split"]: (r["e"]["_draw"], r["e"]["cluster_id"]) for r in edge.collect()}
+    return {s: (level, edges.get(s)) for s, (level, _) in cuts.items()}
+
+
+def _equal(names: Sequence[str], values: Sequence) -> Column:
+    out = F.lit(True)
+    for name, value in zip(names, values):
+        out = out & (F.col(name) == value)
+    return out
+
+
+def first_by_level(pool: DataFrame, levels: Sequence[str], quota: Mapping[str, int]) -> DataFrame:
+    """The first ``quota[split]`` rows of each split ordered by (levels, draw, cluster).
+
+    A cluster has one row per level, so once the last level and the last draw of
+    it are known the sample is a filter: no split is ever ordered as a whole.
+    """
+    chosen = F.lit(False)
+    for split, (level, edge) in _cuts(pool, levels, quota).items():
+        here = F.col("split") == split
+        if level is None:
+            chosen = chosen | here
+            continue
+        place = F.struct(*levels)
+        last = F.struct(*[F.lit(v).cast("bigint").alias(n) for n, v in zip(levels, level)])
+        inside = place < last
+        if edge is not None:
+            inside = inside | ((place == last) & (F.struct("_draw", "cluster_id") <= F.struct(F.lit(edge[0]).alias("_draw"), F.lit(edge[1]).alias("cluster_id"))))
+        chosen = chosen | (here & inside)
+    return pool.where(chosen)
 
 
 def _literal_targets(targets: Mapping[str, int], key: str) -> Column:
@@ -73,9 +114,23 @@ def _literal_targets(targets: Mapping[str, int], key: str) -> Column:
     return F.coalesce(F.create_map(*pairs)[F.col(key)], F.lit(0))
 
 
-def _count_clusters(picked: list[DataFrame]) -> DataFrame:
+def _queued(candidates: DataFrame, keys: Sequence[str], item: Column, draw: Column, cap: int) -> DataFrame:
+    """Number the items of each cluster queue in hash order; those past the cap can never be taken."""
+    queue = Window.partitionBy("split", "cluster_id", *keys).orderBy("_item", "pair_id")
+    numbered = candidates.withColumn("_item", item).withColumn("_rn", F.row_number().over(queue)).where(F.col("_rn") <= cap)
+    return materialize(numbered.drop("_item").withColumn("_draw", draw))
+
+
+def _with_prior(pool: DataFrame, picked: list[DataFrame]) -> DataFrame:
+    """Add ``_prior``, the picks of the cluster so far; the picks are at most the quotas."""
+    if not picked:
+        return pool.withColumn("_prior", F.lit(0).cast("bigint"))
     every = reduce(DataFrame.unionByName, [p.select("split", "cluster_id") for p in picked])
-    return every.groupBy("split", "cluster_id").agg(F.count(F.lit(1)).alias("_prior"))
+    prior = every.groupBy("split", "cluster_id").agg(F.count(F.lit(1)).alias("_prior"))
+    return pool.join(prior, ["split", "cluster_id"], "left").withColumn("_prior", F.coalesce("_prior", F.lit(0)))
+
+
+HELPERS = ("_rn", "_draw", "_prior", "_level", "_total")
 
 
 def balanced_quota_sample(candidates: DataFrame, targets: Mapping[str, Mapping[str, int]], cap: int, seed,
@@ -88,30 +143,15 @@ def balanced_quota_sample(candidates: DataFrame, targets: Mapping[str, Mapping[s
     p + rn - 1, and the sample is the first ``target`` items by (level, cluster
     hash). Picks carry over from step to step; only they are materialized.
     """
-    # Read once per (kind, bin) step below, so written once here.
-    candidates = materialize(candidates)
+    place = [F.col("split"), F.col("kind"), F.col("gap_bin"), F.col("cluster_id")]
+    queued = _queued(candidates, ["kind", "gap_bin"], digest(seed, *place, F.col("pair_id")), digest(seed, *place), cap)
     picked: list[DataFrame] = []
-    kinds = list(dict.fromkeys(k for per in targets.values() for k in per))
-    for kind in kinds:
+    for kind in dict.fromkeys(k for per in targets.values() for k in per):
         for gap in GAP_BINS:
             quota = {s: even_quotas(per[kind])[gap] for s, per in targets.items() if kind in per}
-            pool = candidates.where((F.col("kind") == kind) & (F.col("gap_bin") == gap))
-            item = digest(seed, F.col("split"), kind, gap, F.col("cluster_id"), F.col("pair_id"))
-            queue = Window.partitionBy("split", "cluster_id").orderBy("_item", "pair_id")
-            pool = pool.withColumn("_item", item).withColumn("_rn", F.row_number().over(queue)).where(
-                F.col("_rn") <= cap
-            )
-            if picked:
-                pool = pool.join(_count_clusters(picked), ["split", "cluster_id"], "left")
-            else:
-                pool = pool.withColumn("_prior", F.lit(None).cast("bigint"))
-            pool = (
-                pool.withColumn("_level", F.coalesce("_prior", F.lit(0)) + F.col("_rn") - 1)
-                .where(F.col("_level") < cap)
-                .withColumn("_draw", digest(seed, F.col("split"), kind, gap, F.col("cluster_id")))
-            )
-            step = first_by_level(pool, ["split"], ["_level"], "_draw", "cluster_id", _literal_targets(quota, "split"))
-            picked.append(materialize(step.drop("_item", "_rn", "_prior", "_level", "_draw")))
+            step = queued.where((F.col("kind") == kind) & (F.col("gap_bin") == gap) & F.col("split").isin(list(quota)))
+            pool = _with_prior(step, picked).withColumn("_level", F.col("_prior") + F.col("_rn") - 1).where(F.col("_level") < cap)
+            picked.append(materialize(first_by_level(pool, ["_level"], quota).drop(*HELPERS)))
     sample = reduce(DataFrame.unionByName, picked)
     if strict:
         _require_quotas(sample, targets)
@@ -134,29 +174,16 @@ def two_level_quota_sample(positives: DataFrame, targets: Mapping[str, int], clu
     The cap is the smaller of ``cap`` and 1.25 times an equal share, rounded up.
     """
     limits = {s: min(cap, -(-5 * t // (4 * clusters[s]))) for s, t in targets.items()}
-    positives = materialize(positives)
+    place = [F.col("split"), F.col("gap_bin"), F.col("cluster_id")]
+    queued = _queued(positives, ["gap_bin"], digest(seed, *place, F.col("pair_id")), digest(seed, *place), max(limits.values()))
     picked: list[DataFrame] = []
     for gap in GAP_BINS:
         quota = {s: even_quotas(t)[gap] for s, t in targets.items()}
-        queue = Window.partitionBy("split", "cluster_id").orderBy("_item", "pair_id")
-        pool = (
-            positives.where(F.col("gap_bin") == gap)
-            .withColumn("_item", digest(seed, F.col("split"), gap, F.col("cluster_id"), F.col("pair_id")))
-            .withColumn("_rn", F.row_number().over(queue))
-            .where(F.col("_rn") <= max(limits.values()))
-        )
-        if picked:
-            pool = pool.join(_count_clusters(picked), ["split", "cluster_id"], "left")
-        else:
-            pool = pool.withColumn("_prior", F.lit(None).cast("bigint"))
-        pool = (
-            pool.withColumn("_level", F.col("_rn") - 1)
-            .withColumn("_total", F.coalesce("_prior", F.lit(0)) + F.col("_rn") - 1)
-            .where(F.col("_total") < _literal_targets(limits, "split"))
-            .withColumn("_draw", digest(seed, F.col("split"), gap, F.col("cluster_id")))
-        )
-        step = first_by_level(pool, ["split"], ["_level", "_total"], "_draw", "cluster_id", _literal_targets(quota, "split"))
-        picked.append(materialize(step.drop("_item", "_rn", "_prior", "_level", "_total", "_draw")))
+        step = queued.where((F.col("gap_bin") == gap) & F.col("split").isin(list(quota)))
+        pool = _with_prior(step, picked).withColumns(
+            {"_level": (F.col("_rn") - 1).cast("bigint"), "_total": F.col("_prior") + F.col("_rn") - 1}
+        ).where(F.col("_total") < _literal_targets(limits, "split"))
+        picked.append(materialize(first_by_level(pool, ["_level", "_total"], quota).drop(*HELPERS)))
     return reduce(DataFrame.unionByName, picked)
 
 

@@ -31,29 +31,32 @@ def band_pairs(
     frame: str = "frame",
     key: str = "observation_id",
     hot_rows: int | None = 20_000,
+    equal: Sequence[str] = (),
 ) -> DataFrame:
     """Pairs of one cluster whose frame gap lies in [low, high], earlier row first.
 
+    ``equal`` names further columns both rows must share; they join the equi key.
+
     The equi key is (cluster, block of high-low+1 frames), so a long or hot
     cluster spreads over its blocks. A block above ``hot_rows`` rows is salted:
     its later rows are dealt over the salts and its earlier rows copied to each.
     """
     width = high - low + 1
-    columns = list(dict.fromkeys([key, frame, *carry]))
+    columns = [c for c in dict.fromkeys([key, frame, *carry]) if c not in equal]
 
     def side(suffix: str) -> list[Column]:
         return [F.col(c).alias(f"{c}_{suffix}") for c in columns]
 
     later = observations.select(
-        cluster, *side("b"), F.floor(F.col(frame) / width).alias("_block")
+        cluster, *equal, *side("b"), F.floor(F.col(frame) / width).alias("_block")
     )
     reached = F.array_distinct(
         F.array(
             F.floor((F.col(frame) + low) / width), F.floor((F.col(frame) + high) / width)
         )
     )
-    earlier = observations.select(cluster, *side("a"), F.explode(reached).alias("_block"))
-    on = [cluster, "_block"]
+    earlier = observations.select(cluster, *equal, *side("a"), F.explode(reached).alias("_block"))
+    on = [cluster, *equal, "_block"]
     if hot_rows is not None:
         hot = (
             later.groupBy(*on)
@@ -160,15 +163,17 @@ def kind_by_scale(identity: str, category: str, ratio: Column, cutoff) -> Column
     )
 
 
-def scale_cutoff(pairs: DataFrame, identity: str, category: str, ratio: str = "ratio",
-                 probability: float = 0.25) -> float:
-    """Locked on train: the observed same-category log ratio at the "higher" quantile."""
-    pool = pairs.where(
-        (F.col("split") == "train")
-        & (F.col(f"{identity}_a") != F.col(f"{identity}_b"))
-        & (F.col(f"{category}_a") == F.col(f"{category}_b"))
-    )
-    row = exact_quantiles(pool, [], ratio, {"cutoff": probability}, "higher").first()
+def same_category_ratios(observations: DataFrame, low: int, high: int, identity: str, category: str, area: str,
+                         digits: int = 9) -> DataFrame:
+    """Log area ratios of same-category negatives: category joins the key, so no other pair is formed."""
+    pairs = band_pairs(observations, low, high, [identity, area], equal=[category])
+    ratio = F.round(log_ratio(F.col(f"{area}_a"), F.col(f"{area}_b")), digits)
+    return pairs.where(F.col(f"{identity}_a") != F.col(f"{identity}_b")).select(ratio.alias("ratio"))
+
+
+def scale_cutoff(ratios: DataFrame, probability: float = 0.25) -> float:
+    """The observed train ratio at the "higher" quantile: one number, locked."""
+    row = exact_quantiles(ratios, [], "ratio", {"cutoff": probability}, "higher").first()
     if row is None or row["cutoff"] is None:
         raise ValueError("train holds no same-category negative")
     return float(row["cutoff"])

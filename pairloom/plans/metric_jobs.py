@@ -178,7 +178,7 @@ def with_covariates(rows: DataFrame) -> DataFrame:
 
 def with_strata(spark, folder, pairs: DataFrame | None = None) -> DataFrame:
     """Scored pairs with visibility and motion tertiles cut on train pairs."""
-    table = with_covariates(pairs if pairs is not None else V.pairs(spark, folder))
+    table = with_covariates(pairs if pairs is not None else V.staged_pairs(spark, folder))
     cuts = M.train_cutpoints(table, ["visibility", "motion"])
     strata = {f"{f}_stratum": tertile(F.col(f), F.lit(cuts[f][0]), F.lit(cuts[f][1])) for f in ("visibility", "motion")}
     return V.scored(spark, folder, table.withColumns(strata))

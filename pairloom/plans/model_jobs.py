@@ -28,7 +28,7 @@ THRESHOLDS = {"A": (0.42, 0.2), "B": (0.4, 0.2), "C": (0.38, 0.18)}
 
 
 def simple_features(spark, folder):
-    pairs = V.pairs(spark, folder)
+    pairs = V.staged_pairs(spark, folder)
     return pairs.select(
         "pair_id", "cluster_id", "split", "label", "kind", "gap_bin", "ratio", F.col("gap").cast("double").alias("gap"),
         F.abs(F.col("attribute_a") - F.col("attribute_b")).cast("double").alias("near"),

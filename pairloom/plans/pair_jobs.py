@@ -289,7 +289,7 @@ SELECT pair_id, cluster_id FROM (SELECT p.pair_id, p.cluster_id, coalesce(n, 0)
   FROM pairs p LEFT JOIN prior USING (cluster_id) WHERE kind = 'positive') WHERE n + rn <= {CAP}
 """)
 def contribution_cap(spark, folder):
-    pairs = V.pairs(spark, folder)
+    pairs = V.staged_pairs(spark, folder)
     prior = pairs.where("kind = 'hard'").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("prior"))
     rows = pairs.where("kind = 'positive'").join(prior, "cluster_id", "left")
     return sampling.capped(rows, F.coalesce("prior", F.lit(0)), CAP, ["cluster_id"], ["pair_id"]).select("pair_id", "cluster_id")
@@ -395,7 +395,7 @@ def balance_gate(spark, folder):
 
 
 def matched(spark, folder):
-    pairs = with_controls(V.pairs(spark, folder))
+    pairs = with_controls(V.staged_pairs(spark, folder))
     templates = sampling.split_templates(chosen_positives(pairs), V.SEED)
     parts = []
     used = templates.groupBy("split", "cluster_id").agg(F.count(F.lit(1)).alias("used"))
@@ -453,8 +453,8 @@ SELECT s.split, count(*) AS rows, count(*) FILTER (kind = 'positive') AS positiv
   max(c.n) AS largest_contribution, 0 AS violation_count, true AS definitions_hold, max(c.n) <= {CAP} AS cap_respected
 FROM sample s JOIN cnt9 c USING (cluster_id) GROUP BY s.split""")
 def definition_audit(spark, folder):
-    pairs = V.pairs(spark, folder)
-    cutoff = P.scale_cutoff(V.banded(spark, folder), "instance", "category")
+    pairs = V.staged_pairs(spark, folder)
+    cutoff = V.cutoff(spark, folder)
     return P.pair_definition_audit(quota_sample(spark, folder, pairs), cutoff, CAP).drop("violations")
 
 

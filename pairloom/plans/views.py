@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import hash_integer
-from ..operators.pairs import band_pairs, classified_pairs, kind_by_scale, log_ratio, scale_cutoff
+from ..operators.pairs import band_pairs, classified_pairs, kind_by_scale, log_ratio, same_category_ratios, scale_cutoff
+from ..session import stage
 
 SEED = 42
 ORIGIN = "2024-01-01 00:00:00"
@@ -78,12 +79,20 @@ cutoff AS (
   WHERE rn = CAST(ceil((n - 1) * 0.25) AS BIGINT))"""
 
 
+def cutoff(spark: SparkSession, folder: str) -> float:
+    train = observations(spark, folder).where("split = 'train'")
+    return scale_cutoff(same_category_ratios(train, LOW_GAP, HIGH_GAP, "instance", "category", "area"))
+
+
 def pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Positive, hard and easy pairs; the hard cutoff is locked on train."""
-    band = banded(spark, folder)
-    cutoff = scale_cutoff(band, "instance", "category")
-    kind = kind_by_scale("instance", "category", F.col("ratio"), F.lit(cutoff))
-    return classified_pairs(band, kind)
+    kind = kind_by_scale("instance", "category", F.col("ratio"), F.lit(cutoff(spark, folder)))
+    return classified_pairs(banded(spark, folder), kind)
+
+
+def staged_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """The pair table as a written stage, for jobs that read it more than once."""
+    return stage(pairs(spark, folder), "pairs")
 
 
 PAIRS = BAND + CUTOFF + """,
@@ -99,7 +108,7 @@ pairs AS (
 
 def scored(spark: SparkSession, folder: str, pair_table: DataFrame | None = None) -> DataFrame:
     """Three closed-form systems over the pairs, one row per (pair, system)."""
-    base = pair_table if pair_table is not None else pairs(spark, folder)
+    base = pair_table if pair_table is not None else staged_pairs(spark, folder)
     ratio, gap = F.col("ratio"), F.col("gap")
     near = F.abs(F.col("attribute_a") - F.col("attribute_b"))
     alike = F.when(F.col("category_a") == F.col("category_b"), 0.2).otherwise(0.0)

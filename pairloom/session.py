@@ -51,3 +51,14 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and read it back."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back.
+
+    For tables that several later jobs read: they get column pruning and pushed
+    filters, and nothing is computed twice.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
