@@ -78,7 +78,7 @@ def band_pairs(
         on = [*on, "_salt"]
     gap = F.col(f"{frame}_b") - F.col(f"{frame}_a")
     return (
-        earlier.join(later, on)
+        earlier.join(later.hint("merge"), on)
         .withColumn("gap", gap)
         .where(F.col("gap").between(low, high))
         .drop("_block", "_salt")
