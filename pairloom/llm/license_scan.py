@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, let
+from .common import let
 from .license_rules import ANCHORS, BASE, Rule, rules
 
-_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: On text that is not lower-cased; Java is faster with classes that name what is in them.
+_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
+_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _SPAN = "array<struct<start:int,end:int,priority:int,confidence:double,label:string>>"
 
 
@@ -79,11 +82,9 @@ def _base(reduced: Column, n_words: Column) -> Column:
 
 
 def _table(chosen: Sequence[Rule]) -> Column:
-    return F.array(*[
-        F.struct(F.lit(r.label).alias("label"), F.lit(f" (?:{r.pattern})(?= )").alias("pattern"), F.lit(f" {r.keyword}").alias("keyword"),
-                 F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence"))
-        for r in chosen
-    ])
+    rows = [[r.label, f" (?:{r.pattern})(?= )", f" {r.keyword}", r.priority, r.confidence] for r in chosen]
+    names = ("label", "pattern", "keyword", "priority", "confidence")
+    return F.from_json(F.lit(json.dumps([dict(zip(names, row)) for row in rows])), "array<struct<label:string,pattern:string,keyword:string,priority:int,confidence:double>>")
 
 
 def scan(docs: DataFrame, chosen: Sequence[Rule] | None = None) -> DataFrame:
@@ -95,22 +96,25 @@ def scan(docs: DataFrame, chosen: Sequence[Rule] | None = None) -> DataFrame:
     whole text; a rule's pattern is tried only where its keyword stands.
     """
     chosen = list(rules() if chosen is None else chosen)
-    text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+    table = _table(chosen)
 
     def found(reduced: Column) -> Column:
-        tried = F.filter(_table(chosen), lambda r: F.contains(reduced, r["keyword"]))
+        tried = F.filter(table, lambda r: F.contains(reduced, r["keyword"]))
         spans = F.flatten(F.transform(tried, lambda r: _matches(reduced, r)))
         n_words = _spaces(reduced) - 1
         return F.struct(_base(reduced, n_words).alias("base"), let(spans, lambda d: _unsuppressed(d, [r.priority for r in chosen])).alias("detections"))
 
-    def row(lowered: Column) -> Column:
+    def looked_at(lowered: Column) -> Column:
         anchored = F.lit(False)
         for anchor in ANCHORS:
             anchored = anchored | F.contains(lowered, F.lit(anchor.split()[0]))
         reduced = F.concat(F.lit(" "), F.btrim(F.regexp_replace(lowered, _BETWEEN, " ")), F.lit(" "))
-        return F.struct(F.regexp_count(lowered, F.lit(WORD)).cast("long").alias("n_words"), F.when(anchored, let(reduced, found)).alias("f"))
+        return F.when(anchored, let(reduced, found))
 
-    scanned = docs.select("doc_id", let(text, row).alias("r"))
+    row = F.struct(F.regexp_count(text, F.lit(_WORD)).cast("long").alias("n_words"), let(F.lower(text), looked_at).alias("f"))
+    scanned = docs.select("doc_id", let(row, lambda r: r).alias("r"))
     return scanned.select("doc_id", "r.n_words", F.col("r.f.base").alias("base"), F.coalesce("r.f.detections", F.array().cast(_SPAN)).alias("detections"))
 
 

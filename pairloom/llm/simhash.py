@@ -13,7 +13,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
@@ -82,19 +82,18 @@ def links(classes: DataFrame) -> DataFrame:
     """``(a, b)``: pairs of distinct fingerprints ``fp`` at distance 1 or 2, enough of them
     to connect every linked pair; buckets of at most ``PAIRED_BUCKET`` give all theirs.
     """
-    keyed = _variants(classes)
-    sizes = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
-    small = keyed.join(sizes.where(F.col("size") <= PAIRED_BUCKET), "key").select("key", "fp")
+    same = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    shared = stage(_variants(classes).withColumn("size", same).where("size > 1"), "buckets")
+    small = shared.where(F.col("size") <= PAIRED_BUCKET)
     pairs = (
         small.select("key", F.col("fp").alias("a"))
         .join(small.select("key", F.col("fp").alias("b")), "key")
         .where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE))
         .select("a", "b")
     )
-    crowded = sizes.where(F.col("size") > PAIRED_BUCKET)
-    if crowded.isEmpty():
+    hot = shared.where(F.col("size") > PAIRED_BUCKET).select("fp").distinct()
+    if hot.isEmpty():
         return pairs.distinct()
-    hot = keyed.join(crowded, "key").select("fp").distinct()
     return pairs.unionByName(_star_links(hot)).distinct()
 
 
