@@ -81,10 +81,15 @@ def _base(reduced: Column, n_words: Column) -> Column:
     return F.array(*[one(label, phrase) for label, phrase in BASE])
 
 
+def _keywords(chosen: Sequence[Rule]) -> list[str]:
+    return sorted({f" {r.keyword}" for r in chosen})
+
+
 def _table(chosen: Sequence[Rule]) -> Column:
-    rows = [[r.label, f" (?:{r.pattern})(?= )", f" {r.keyword}", r.priority, r.confidence] for r in chosen]
+    place = {k: i for i, k in enumerate(_keywords(chosen))}
+    rows = [[r.label, f" (?:{r.pattern})(?= )", place[f" {r.keyword}"], r.priority, r.confidence] for r in chosen]
     names = ("label", "pattern", "keyword", "priority", "confidence")
-    return F.from_json(F.lit(json.dumps([dict(zip(names, row)) for row in rows])), "array<struct<label:string,pattern:string,keyword:string,priority:int,confidence:double>>")
+    return F.from_json(F.lit(json.dumps([dict(zip(names, row)) for row in rows])), "array<struct<label:string,pattern:string,keyword:int,priority:int,confidence:double>>")
 
 
 def scan(docs: DataFrame, chosen: Sequence[Rule] | None = None) -> DataFrame:
@@ -99,9 +104,11 @@ def scan(docs: DataFrame, chosen: Sequence[Rule] | None = None) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
     table = _table(chosen)
+    keywords = F.from_json(F.lit(json.dumps(_keywords(chosen))), "array<string>")
 
     def found(reduced: Column) -> Column:
-        tried = F.filter(table, lambda r: F.contains(reduced, r["keyword"]))
+        present = F.transform(keywords, lambda k: F.contains(reduced, k))
+        tried = let(present, lambda p: F.filter(table, lambda r: F.get(p, r["keyword"])))
         spans = F.flatten(F.transform(tried, lambda r: _matches(reduced, r)))
         n_words = _spaces(reduced) - 1
         return F.struct(_base(reduced, n_words).alias("base"), let(spans, lambda d: _unsuppressed(d, [r.priority for r in chosen])).alias("detections"))

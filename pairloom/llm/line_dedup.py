@@ -25,6 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import fresh_path
 from .common import raw_column
@@ -209,19 +210,19 @@ def dropped_lines(state: LineState) -> DataFrame:
     return hits.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("dropped"))
 
 
-def deduplicate(docs: DataFrame, state: LineState) -> DataFrame:
-    """``(doc_id, kept string, n_lines, n_dropped)``, one row per row of ``docs``.
+def keep_lines(docs: DataFrame, state: LineState) -> DataFrame:
+    """``docs`` with all columns and ``kept string, n_lines long, n_dropped long`` added, one
+    row per row.
 
     A null text is one empty line; a row without an id keeps all its lines. Equal ids stand
     for one document, whose rows should be equal. An empty table gives none.
     """
-    source = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    joined = source.join(dropped_lines(state), "doc_id", "left")
+    joined = docs.join(dropped_lines(state).withColumnRenamed("dropped", "_dropped"), "doc_id", "left").select(*docs.columns, "_dropped")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, n_lines, n_dropped = [], [], []
-            for text, gone in zip(raw_column(batch, "text"), batch.column("dropped").to_pylist()):
+            for text, gone in zip(raw_column(batch, "text"), batch.column("_dropped").to_pylist()):
                 lines = text.split(b"\n")
                 n_lines.append(len(lines))
                 if gone:
@@ -232,8 +233,14 @@ def deduplicate(docs: DataFrame, state: LineState) -> DataFrame:
                 else:
                     n_dropped.append(0)
                 kept.append(text)
-            columns = [batch.column("doc_id"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "kept", "n_lines", "n_dropped"])
+            added = [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
+            names = [n for n in batch.schema.names if n != "_dropped"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *added], names=[*names, "kept", "n_lines", "n_dropped"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"doc_id {kind}, kept string, n_lines long, n_dropped long")
+    made = T.StructType(list(docs.schema)).add("kept", "string").add("n_lines", "long").add("n_dropped", "long")
+    return joined.mapInArrow(run, made)
+
+
+def deduplicate(docs: DataFrame, state: LineState) -> DataFrame:
+    """``(doc_id, kept, n_lines, n_dropped)`` of :func:`keep_lines`."""
+    return keep_lines(docs.select("doc_id", F.col("text").cast("string").alias("text")), state).drop("text")

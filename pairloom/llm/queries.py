@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, license_scan, line_dedup, quality_rules, simhash
+from . import decontaminate, html_extract, license_scan, line_dedup, mixing, quality_classifier, quality_rules, simhash, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -156,3 +156,62 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = pages.select(F.struct("page_id", "url").alias("page_id"), "html")
     text = html_extract.extract(keyed)
     return text.select("page_id.page_id", "page_id.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+_MIX_SQL = r"""
+WITH RECURSIVE tokens AS (
+  SELECT doc_id, coalesce(source, '') AS source,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM documents
+), sources AS (
+  SELECT source, CAST(sum(n_tokens) AS BIGINT) AS source_tokens FROM tokens GROUP BY source HAVING sum(n_tokens) > 0
+), corpus AS (
+  SELECT CAST(sum(source_tokens) AS BIGINT) AS n, count(*) AS s, list(source_tokens) AS sizes FROM sources
+), p AS (SELECT n, s, list_transform(sizes, lambda x: x / n) AS ps FROM corpus),
+bisect AS (
+  SELECT 0 AS turn, CAST(0 AS DOUBLE) AS low, CAST(1 AS DOUBLE) AS high
+  UNION ALL
+  SELECT turn + 1, CASE WHEN holds THEN low ELSE a END, CASE WHEN holds THEN a ELSE high END
+  FROM (
+    SELECT turn, low, high, a, ln(z) - a * g / z <= ENTROPY * ln(s) + 1e-12
+           AND (a - 1) * ln(list_min(ps)) - ln(z) <= ln(PASSES) + 1e-12 AS holds
+    FROM (SELECT turn, low, high, (low + high) / 2 AS a, p.s, p.ps,
+                 list_sum(list_transform(ps, lambda x: pow(x, (low + high) / 2))) AS z,
+                 list_sum(list_transform(ps, lambda x: pow(x, (low + high) / 2) * ln(x))) AS g
+          FROM bisect, p WHERE turn < 40))
+), exponent AS (SELECT round(high, 6) AS a FROM bisect ORDER BY turn DESC LIMIT 1),
+weighted AS (
+  SELECT source, source_tokens, pow(source_tokens / n, a) / list_sum(list_transform(ps, lambda x: pow(x, a))) AS weight, n
+  FROM sources, p, exponent
+), budgets AS (SELECT *, CAST(round(weight * n) AS BIGINT) AS budget, greatest(1, (n + 999999) // 1000000) AS blocks FROM weighted),
+draws AS (
+  SELECT t.doc_id, t.n_tokens, b.*, unnest(range(0, (b.budget - 1) // b.source_tokens + 1)) AS pass
+  FROM tokens t JOIN budgets b ON t.source = b.source WHERE b.budget > 0
+), placed AS (
+  SELECT *, pass * source_tokens + coalesce(sum(n_tokens) OVER (
+    PARTITION BY source, pass ORDER BY md5('SEED|' || pass || '|' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, n_tokens
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_token FROM draws
+), taken AS (
+  SELECT *, CAST(floor(CAST(at_token AS DOUBLE) * CAST(blocks AS DOUBLE) / budget) AS BIGINT) AS block FROM placed WHERE at_token < budget
+)
+SELECT doc_id, source, CAST(pass AS INTEGER) AS pass, block,
+       CAST(row_number() OVER (PARTITION BY block ORDER BY md5('SEED|' || block || '|' || pass || '|' || coalesce(CAST(doc_id AS VARCHAR), '')),
+            source, doc_id, n_tokens) AS INTEGER) AS place, n_tokens, round(weight, 9) AS weight
+FROM taken
+""".replace("ENTROPY", str(mixing.TARGET_ENTROPY)).replace("PASSES", str(mixing.MAX_PASSES)).replace("SEED", str(mixing.SEED))
+
+
+@_query("op8_source_mixing", _MIX_SQL)
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+@_query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
+@_query("op10_quality_classifier")
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_classifier.scored(docs, quality_classifier.train(docs, _table(spark, sf_dir, "labels")))
