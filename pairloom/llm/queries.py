@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, license_scan, line_dedup, mixing, quality_classifier, quality_rules, simhash, toxicity
+from .common import held_out
+from . import decontaminate, html_extract, language_model, license_scan, line_dedup, mixing, quality_classifier, quality_rules, simhash, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -215,3 +216,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality_classifier.scored(docs, quality_classifier.train(docs, _table(spark, sf_dir, "labels")))
+
+
+@_query("op6_lm_scoring")
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = held_out(F.col("doc_id"), 7, 2)
+    scored = language_model.score(_table(spark, sf_dir, "documents"), ~held)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
