@@ -167,12 +167,14 @@ def _require_quotas(sample: DataFrame, targets: Mapping[str, Mapping[str, int]])
                     raise ValueError(f"{split}/{kind}/{gap}: {got.get((split, kind, gap), 0)} of {wanted}")
 
 
-def two_level_quota_sample(positives: DataFrame, targets: Mapping[str, int], clusters: Mapping[str, int],
-                           cap: int, seed) -> DataFrame:
+def two_level_quota_sample(positives: DataFrame, targets: Mapping[str, int], cap: int, seed, strict: bool = False) -> DataFrame:
     """Positives balanced first on the picks in the bin, then on all picks of the cluster.
 
-    The cap is the smaller of ``cap`` and 1.25 times an equal share, rounded up.
+    The cap is the smaller of ``cap`` and 1.25 times an equal share of the split's
+    clusters, rounded up. With ``strict`` a bin short of its quota is an error.
     """
+    counted = positives.groupBy("split").agg(F.count_distinct("cluster_id").alias("n")).collect()
+    clusters = {s: 1 for s in targets} | {r["split"]: r["n"] for r in counted}
     limits = {s: min(cap, -(-5 * t // (4 * clusters[s]))) for s, t in targets.items()}
     place = [F.col("split"), F.col("gap_bin"), F.col("cluster_id")]
     queued = _queued(positives, ["gap_bin"], digest(seed, *place, F.col("pair_id")), digest(seed, *place), max(limits.values()))
@@ -184,7 +186,10 @@ def two_level_quota_sample(positives: DataFrame, targets: Mapping[str, int], clu
             {"_level": (F.col("_rn") - 1).cast("bigint"), "_total": F.col("_prior") + F.col("_rn") - 1}
         ).where(F.col("_total") < _literal_targets(limits, "split"))
         picked.append(materialize(first_by_level(pool, ["_level", "_total"], quota).drop(*HELPERS)))
-    return reduce(DataFrame.unionByName, picked)
+    sample = reduce(DataFrame.unionByName, picked)
+    if strict:
+        _require_quotas(sample, {s: {"positive": t} for s, t in targets.items()})
+    return sample
 
 
 def template_quotas(positives: DataFrame, share: float = 0.5) -> DataFrame:
@@ -250,14 +255,14 @@ SENT_TEMPLATES = 100_000
 
 
 def match_negatives(templates: DataFrame, negatives: DataFrame, controls: Sequence[str], cap: int,
-                    prior: DataFrame | None = None) -> DataFrame:
+                    prior: DataFrame | None = None, strict: bool = True) -> DataFrame:
     """Give each template its nearest free negative, none used twice.
 
     Both tables hold split, cluster_id, pair_id, frame_a, frame_b, gap_bin and
     the control columns. A template looks at negatives of its own frame pair, or,
     if none is free there, of its gap bin with a frame penalty. Every round pairs
     mutual best choices; it ends when nothing can be added, so no candidate is
-    dropped.
+    dropped. Templates left without a negative are an error, unless ``strict`` is off.
 
     The number of templates is a quota. It is counted, and while it is small the
     templates and all per-round state travel to the negatives, which then only
@@ -326,6 +331,8 @@ def match_negatives(templates: DataFrame, negatives: DataFrame, controls: Sequen
             break
         done += added
         matched = step if matched is None else matched.unionByName(step)
+    if strict and done < asked:
+        raise ValueError(f"{asked - done} of {asked} templates have no negative left")
     if matched is None:
         raise ValueError("no negative fits any template")
     return matched.drop(*controls)

@@ -63,12 +63,14 @@ def proportional_allocation(capacities: DataFrame, target: int, stratum: str = "
 
     ``capacities`` has one row per stratum, so it is small. As target does not
     exceed the total, every stratum with a remainder has room for one more and a
-    single ranking settles all of them.
+    single ranking settles all of them. A target above the total is an error.
     """
     everything = Window.partitionBy(F.lit(1))
+    total = F.sum("capacity").over(everything)
+    total = F.when(total < target, F.raise_error(F.lit(f"fewer than {target} rows to allocate"))).otherwise(total)
     raw = F.lit(target) * F.col("capacity") / F.col("_total")
     shares = (
-        capacities.withColumn("_total", F.sum("capacity").over(everything))
+        capacities.withColumn("_total", total)
         .withColumn("_floor", F.floor(raw))
         .withColumn("_rest", raw - F.col("_floor"))
         .withColumn("_left", F.lit(target) - F.sum("_floor").over(everything))
@@ -125,7 +127,10 @@ def exact_split(df: DataFrame, sizes: Mapping[str, int], stratum: str, seed, key
     slots = ranked(slots, [], ["_key", "_order"]).select("split", F.col("rank").alias("_place"))
     rest = placed.where(~head).drop("rank", "size")
     rest = ranked(rest, [], [stratum, "_draw"]).withColumnRenamed("rank", "_place").drop("size")
-    tail = rest.join(slots, "_place").drop("_place", "_draw")
+    # more rows than places, or fewer, is an error: nothing is dropped silently
+    missing = F.raise_error(F.lit(f"the split sizes {dict(sizes)} do not add up to the rows"))
+    tail = rest.join(slots, "_place", "full").withColumn("split", F.when(F.col("split").isNull() | F.col(key).isNull(), missing).otherwise(F.col("split")))
+    tail = tail.drop("_place", "_draw")
     return first.drop("rank", "size", "_draw").unionByName(tail)
 
 

@@ -17,7 +17,7 @@ FIELDS = ["mx", "my", "area", "crop_w", "crop_h", "aspect", "visibility", *X.DEP
 EXTENT_SQL = ", ".join(f"abs(r{i}0)*ex + abs(r{i}1)*ey + abs(r{i}2)*ez AS we{a}" for i, a in enumerate("xyz"))
 OBSERVED = SUMMARY + f""", fo AS (SELECT su.*, (attribute % 32) / 32 AS mx, (frame % 24) / 24 AS my, 4 + attribute % 9 AS crop_w, 4 + frame % 6 AS crop_h, (4 + attribute % 9) / (4 + frame % 6) AS aspect,
   1 + floor(area * 0.8) AS visibility, cz AS d50, cz - 0.05::DOUBLE * (1 + attribute % 3) AS d25, cz - 0.05::DOUBLE * (1 + attribute % 3) - 0.1::DOUBLE * (1 + frame % 2) AS d05, cz + 0.04::DOUBLE * (1 + attribute % 4) AS d75,
-  cz + 0.04::DOUBLE * (1 + attribute % 4) + 0.1 AS d95, {EXTENT_SQL}, e.embedding FROM su JOIN embeddings e ON e.vec_id = observation_id % 500)"""
+  cz + 0.04::DOUBLE * (1 + attribute % 4) + 0.1 AS d95, {EXTENT_SQL}, e.embedding FROM su JOIN embeddings e ON e.vec_id = observation_id % (SELECT count(*) FROM embeddings))"""
 
 
 def observed(spark, folder):
@@ -28,12 +28,13 @@ def observed(spark, folder):
     d25 = F.col("cz") - 0.05 * (1 + a % 3)
     d75 = F.col("cz") + 0.04 * (1 + a % 4)
     extent = {f"we{n}": sum(F.abs(rotation[3 * i + j]) * F.col(f"e{m}") for j, m in enumerate("xyz")) for i, n in enumerate("xyz")}
-    embedded = V.table(spark, folder, "embeddings").select("vec_id", X.unit_embedding(F.col("embedding")).alias("unit"))
+    vectors = V.table(spark, folder, "embeddings")
+    embedded = vectors.select("vec_id", X.unit_embedding(F.col("embedding")).alias("unit"))
     return base.withColumns(
         {
             "mx": (a % 32) / 32, "my": (t % 24) / 24, "crop_w": 4 + a % 9, "crop_h": 4 + t % 6, "aspect": (4 + a % 9) / (4 + t % 6),
             "visibility": 1 + F.floor(F.col("area") * 0.8), "d50": F.col("cz"), "d25": d25, "d05": d25 - 0.1 * (1 + t % 2), "d75": d75, "d95": d75 + 0.1,
-            **extent, "vec_id": F.col("observation_id") % 500,
+            **extent, "vec_id": F.col("observation_id") % vectors.count(),
         }
     ).join(embedded, "vec_id")
 

@@ -261,7 +261,7 @@ def quota_sql() -> str:
             prior = f"coalesce((SELECT n FROM cnt{steps} c WHERE c.cluster_id = q.cluster_id), 0)" if steps else "0"
             parts.append(f"""
 q{steps} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY split, cluster_id ORDER BY sha256('{tag} || '|' || pair_id), pair_id) AS rn
-  FROM retained WHERE kind = '{kind}' AND gap_bin = '{gap}'),
+  FROM pairs WHERE kind = '{kind}' AND gap_bin = '{gap}'),
 p{steps} AS (SELECT q.*, {prior} AS prior FROM q{steps} q),
 s{steps} AS MATERIALIZED (SELECT * EXCLUDE (pos, rn, prior) FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY prior + rn - 1, sha256('{tag}), cluster_id) AS pos
   FROM p{steps} WHERE prior + rn - 1 < {CAP}) WHERE pos <= CASE split {goal} END),""")
@@ -271,11 +271,12 @@ s{steps} AS MATERIALIZED (SELECT * EXCLUDE (pos, rn, prior) FROM (SELECT *, row_
     return "".join(parts) + "sample AS (" + " UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(steps)) + ")"
 
 
-SAMPLE_SQL = f"WITH {V.PAIRS}, {RETAIN_SQL}, {quota_sql()}"
+SAMPLE_SQL = f"WITH {V.PAIRS}, {quota_sql()}"
 
 
 def quota_sample(spark, folder, pair_table=None):
-    return sampling.balanced_quota_sample(retained(spark, folder, pair_table), TARGETS, CAP, V.SEED)
+    source = pair_table if pair_table is not None else V.staged_pairs(spark, folder)
+    return sampling.balanced_quota_sample(source, TARGETS, CAP, V.SEED, strict=True)
 
 
 @query("W3_balanced_quota_sample", SAMPLE_SQL + " SELECT pair_id, split, kind, gap_bin, cluster_id FROM sample")
@@ -309,13 +310,11 @@ def even_quotas(spark, folder):
     return totals.select("split", "kind", F.explode(F.array(*quotas)).alias("_q")).select("split", "kind", "_q.*")
 
 
-CLUSTERS = {"train": 30, "dev": 12, "test": 6}
-POSITIVE_LIMITS = {s: min(CAP, -(-5 * t // (4 * CLUSTERS[s]))) for s, t in MATCH_TARGETS.items()}
-
-
 def positives_sql() -> str:
     parts = []
-    limit = "CASE split " + " ".join(f"WHEN '{s}' THEN {n}" for s, n in POSITIVE_LIMITS.items()) + " END"
+    limit = "(SELECT least(" + str(CAP) + ", (5 * t + 4 * n - 1) // (4 * n)) FROM shares WHERE shares.split = u.split)"
+    goals = " ".join(f"WHEN '{s}' THEN {n}" for s, n in MATCH_TARGETS.items())
+    parts.append(f"shares AS MATERIALIZED (SELECT split, count(DISTINCT cluster_id) AS n, CASE split {goals} END AS t FROM pairs WHERE kind = 'positive' GROUP BY split),")
     for i, gap in enumerate(GAP_BINS):
         goal = " ".join(f"WHEN '{s}' THEN {sampling.even_quotas(t)[gap]}" for s, t in MATCH_TARGETS.items())
         tag = f"{V.SEED}|' || split || '|{gap}|' || cluster_id"
@@ -325,7 +324,7 @@ def positives_sql() -> str:
 r{i} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY split, cluster_id ORDER BY sha256('{tag} || '|' || pair_id), pair_id) AS rn FROM pairs WHERE kind = 'positive' AND gap_bin = '{gap}'),
 u{i} AS (SELECT q.*, {prior} AS prior FROM r{i} q),
 t{i} AS MATERIALIZED (SELECT * EXCLUDE (rn, prior, pos) FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY rn - 1, prior + rn - 1, sha256('{tag}), cluster_id) AS pos
-  FROM u{i} WHERE prior + rn - 1 < {limit}) WHERE pos <= CASE split {goal} END),""")
+  FROM u{i} u WHERE prior + rn - 1 < {limit}) WHERE pos <= CASE split {goal} END),""")
     return "".join(parts) + "chosen AS (SELECT * FROM t0 UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t2)"
 
 
@@ -339,7 +338,7 @@ templates AS (SELECT c.*, CASE WHEN row_number() OVER (PARTITION BY c.split, gap
 
 
 def chosen_positives(pair_table):
-    return sampling.two_level_quota_sample(pair_table.where("kind = 'positive'"), MATCH_TARGETS, CLUSTERS, CAP, V.SEED)
+    return sampling.two_level_quota_sample(pair_table.where("kind = 'positive'"), MATCH_TARGETS, CAP, V.SEED, strict=True)
 
 
 @query("W4_two_level_quota_sample", f"WITH {V.PAIRS}, {positives_sql()} SELECT pair_id, split, gap_bin, cluster_id FROM chosen")

@@ -17,13 +17,13 @@ def lits(*values):
 
 
 def test_depth_decode(spark):
-    row = one(spark, *[G.decode_depth(F.lit(v), F.lit(7.0), F.lit(67.0)) for v in (0, 65535)])
-    assert row[:] == (7.0, 67.0)
+    row = one(spark, *[G.decode_depth(F.lit(v), F.lit(-2.0), F.lit(3.0)) for v in (0, 13107, 65535)])
+    assert row[:] == pytest.approx((-2.0, -1.0, 3.0))
 
 
 def test_back_projection_is_radial(spark):
-    row = one(spark, G.norm(G.back_project(F.lit(0), F.lit(1), F.lit(10.0), 2.0, 2.0, 2, 2)))
-    assert row[0] == pytest.approx(10.0)
+    row = one(spark, *[G.norm(G.back_project(F.lit(r), F.lit(c), F.lit(d), 3.0, 5.0, 6, 4)) for r, c, d in ((0, 0, 2.5), (3, 5, 0.75))])
+    assert row[:] == pytest.approx((2.5, 0.75))
 
 
 def test_round_trip_and_projection(spark):
@@ -48,10 +48,12 @@ def test_relative_angle(spark):
 
 
 def test_padded_box(spark):
-    pixels = spark.createDataFrame([(1, r, c) for r in range(4) for c in range(8, 12)], "o int, row int, col int")
-    row = P.mask_summary(pixels, ["o"], 0.25, 12, 10).first()
-    assert [row[k] for k in ("x0", "y0", "x1", "y1", "px0", "py0", "px1", "py1")] == [8, 0, 12, 4, 7, 0, 12, 5]
-    assert row["fill"] == 1.0 and row["aspect"] == 1.0
+    # six columns by three rows with one pixel missing, half a side of padding, clipped at the left and lower edges
+    pixels = spark.createDataFrame([(1, r, c) for r in range(5, 8) for c in range(1, 7) if (r, c) != (6, 3)], "o int, row int, col int")
+    row = P.mask_summary(pixels, ["o"], 0.5, 20, 9).first()
+    assert [row[k] for k in ("x0", "y0", "x1", "y1")] == [1, 5, 7, 8]
+    assert (row["px0"], row["px1"], row["py1"]) == (0, 10, 9) and 3 <= row["py0"] <= 4
+    assert row["fill"] == pytest.approx(17 / 18) and row["aspect"] == 2.0
 
 
 def test_donors_are_a_derangement_whatever_the_order(spark):

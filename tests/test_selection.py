@@ -81,3 +81,12 @@ def test_constant_field_has_no_difference(spark):
     df = fields(spark)
     got = {r["field"]: r["smd"] for r in S.subset_differences(df, df, ["a", "c"]).collect()}
     assert got == {"a": 0.0, "c": None}
+
+
+def test_targets_beyond_the_rows_are_an_error(spark):
+    df = spark.createDataFrame([("a", 2), ("b", 1)], "stratum string, capacity long")
+    with pytest.raises(Exception, match="fewer than 30 rows"):
+        S.proportional_allocation(df, 30).collect()
+    rows = spark.range(100).selectExpr("id AS cluster_id", "'s' AS stratum")
+    with pytest.raises(Exception, match="do not add up"):
+        S.exact_split(rows, {"train": 30, "dev": 10, "test": 10}, "stratum", 1).collect()
