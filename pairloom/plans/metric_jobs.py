@@ -69,33 +69,33 @@ def test_rows(scored: DataFrame) -> DataFrame:
 SELECT p.split, p.system, round(sum(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0 END) / count(*), 9) AS auroc
 FROM scored p JOIN scored n ON p.split = n.split AND p.system = n.system AND p.label = 1 AND n.label = 0 GROUP BY ALL""")
 def auroc(spark, folder):
-    ladder = M.score_ladder(V.scored(spark, folder), ["split", "system"])
+    ladder = M.score_ladder(V.scored(spark, folder, V.pairs(spark, folder)), ["split", "system"])
     return rounded(M.ranking_metrics(ladder, ["split", "system"]), "auroc").select("split", "system", "auroc")
 
 
 @query("A19_average_precision", f"""WITH {V.SCORED}{LOCK}
 SELECT split, system, round(sum(pos * tp / (tp + fp)) / max(np), 9) AS average_precision FROM cum GROUP BY ALL""")
 def average_precision(spark, folder):
-    ladder = M.score_ladder(V.scored(spark, folder), ["split", "system"])
+    ladder = M.score_ladder(V.scored(spark, folder, V.pairs(spark, folder)), ["split", "system"])
     return rounded(M.ranking_metrics(ladder, ["split", "system"]), "average_precision").select("split", "system", "average_precision")
 
 
 @query("W5_cumulative_with_ties", f"""WITH {V.SCORED}, st AS (SELECT system, score, sum(label)::BIGINT AS pos, (count(*) - sum(label))::BIGINT AS neg FROM scored WHERE split = 'test' GROUP BY ALL)
 SELECT system, score, pos, neg, (sum(pos) OVER w - pos)::BIGINT AS pos_before, (sum(neg) OVER w - neg)::BIGINT AS neg_before FROM st WINDOW w AS (PARTITION BY system ORDER BY score)""")
 def cumulative_with_ties(spark, folder):
-    ladder = M.score_ladder(test_rows(V.scored(spark, folder)), ["system"])
+    ladder = M.score_ladder(test_rows(V.scored(spark, folder, V.pairs(spark, folder))), ["system"])
     return ladder.select("system", "score", "pos", "neg", "pos_before", "neg_before")
 
 
 @query("W8_max_f1_threshold", f"WITH {V.SCORED}{LOCK} SELECT split, system, round(best_f1, 9) AS best_f1, round(f1_threshold, 9) AS f1_threshold FROM f1pick")
 def max_f1_threshold(spark, folder):
-    points = M.operating_points(M.score_ladder(V.scored(spark, folder), ["split", "system"]), ["split", "system"])
+    points = M.operating_points(M.score_ladder(V.scored(spark, folder, V.pairs(spark, folder)), ["split", "system"]), ["split", "system"])
     return rounded(points, "best_f1", "f1_threshold").select("split", "system", "best_f1", "f1_threshold")
 
 
 @query("W9_recall_threshold", f"WITH {V.SCORED}{LOCK} SELECT split, system, round(recall_threshold, 9) AS recall_threshold FROM rpick")
 def recall_threshold(spark, folder):
-    points = M.operating_points(M.score_ladder(V.scored(spark, folder), ["split", "system"]), ["split", "system"])
+    points = M.operating_points(M.score_ladder(V.scored(spark, folder, V.pairs(spark, folder)), ["split", "system"]), ["split", "system"])
     return rounded(points, "recall_threshold").select("split", "system", "recall_threshold")
 
 
