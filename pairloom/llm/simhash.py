@@ -75,7 +75,7 @@ def _star_links(members: DataFrame) -> DataFrame:
     masks = F.array(*[F.lit(int(m)) for m in (~cleared).view(np.int64)])
     keyed = members.select("fp", F.posexplode(masks).alias("n", "mask")).select("fp", "n", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     centre = keyed.groupBy("n", "key").agg(F.min("fp").alias("c"), F.max("fp").alias("top")).where("c != top")
-    return keyed.join(centre, ["n", "key"]).where("fp != c").select(F.col("fp").alias("a"), F.col("c").alias("b")).distinct()
+    return keyed.join(centre.hint("merge"), ["n", "key"]).where("fp != c").select(F.col("fp").alias("a"), F.col("c").alias("b")).distinct()
 
 
 def links(classes: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def links(classes: DataFrame) -> DataFrame:
     small = shared.where(F.col("size") <= PAIRED_BUCKET)
     pairs = (
         small.select("key", F.col("fp").alias("a"))
-        .join(small.select("key", F.col("fp").alias("b")), "key")
+        .join(small.select("key", F.col("fp").alias("b")).hint("merge"), "key")
         .where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE))
         .select("a", "b")
     )
@@ -107,12 +107,13 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     prints = stage(fingerprints(docs), "fingerprints")
     classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     found = connected_components(links(classes).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    member = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
+    # every side grows with the texts: merge joins, never a broadcast
+    member = classes.join(found.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("root")
     )
     smallest = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = member.join(smallest, "root").select("fp", "component_id")
-    return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    named = member.join(smallest.hint("merge"), "root").select("fp", "component_id")
+    return prints.join(named.hint("merge"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def keep_one_per_class(docs: DataFrame) -> DataFrame:
@@ -120,5 +121,5 @@ def keep_one_per_class(docs: DataFrame) -> DataFrame:
     stays, rows without an id all stay."""
     classed = near_duplicate_classes(docs.where("doc_id IS NOT NULL"))
     kept = classed.where("doc_id = component_id").select("doc_id").distinct()
-    unique = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    unique = docs.where("doc_id IS NOT NULL").join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return unique.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
