@@ -1,5 +1,5 @@
 """An FM-index over a sequence of small integers, in numpy (Ferragina and Manzini, 2000),
-with a wavelet matrix for rank (Claude, Navarro and Ordonez, 2015). All queries take arrays.
+with a wavelet matrix for rank ("The Wavelet Matrix", 2015). All queries take arrays.
 """
 
 from __future__ import annotations
