@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from ..operators import features as X
 from ..operators import points as PT
+from ..operators import stress as T
 from ..operators.quality import finite_report
 from . import views as V
-from .point_jobs import RELATIVE, SUMMARY, posed_summaries, trace_sql
+from .point_jobs import RELATIVE, SUMMARY, posed_summaries, poses, trace_sql
 from .registry import query
 
 FIELDS = ["mx", "my", "area", "crop_w", "crop_h", "aspect", "visibility", *X.DEPTH_LEVELS, "unit", "cx", "cy", "cz", "ex", "ey", "ez",
           "wx", "wy", "wz", "wex", "wey", "wez", "px", "py", "pz", *PT.ROTATION]
+SHUFFLED_FIELDS = ["sx", "sy", "sz", "sex", "sey", "sez"]
 
 EXTENT_SQL = ", ".join(f"abs(r{i}0)*ex + abs(r{i}1)*ey + abs(r{i}2)*ez AS we{a}" for i, a in enumerate("xyz"))
 OBSERVED = SUMMARY + f""", fo AS (SELECT su.*, (attribute % 32) / 32 AS mx, (frame % 24) / 24 AS my, 4 + attribute % 9 AS crop_w, 4 + frame % 6 AS crop_h, (4 + attribute % 9) / (4 + frame % 6) AS aspect,
@@ -20,36 +22,68 @@ OBSERVED = SUMMARY + f""", fo AS (SELECT su.*, (attribute % 32) / 32 AS mx, (fra
   cz + 0.04::DOUBLE * (1 + attribute % 4) + 0.1 AS d95, {EXTENT_SQL}, e.embedding FROM su JOIN embeddings e ON e.vec_id = observation_id % (SELECT count(*) FROM embeddings))"""
 
 
-def observed(spark, folder):
+# Donor poses: each frame gets the next one in hash order of its split.
+DONOR = """, dk AS (SELECT DISTINCT split, cluster_id, frame, sha256('6|' || split || '|' || cluster_id || '|' || frame) AS draw FROM obs),
+dn AS (SELECT *, coalesce(lead(cluster_id) OVER w, first_value(cluster_id) OVER w) AS donor_cluster_id, coalesce(lead(frame) OVER w, first_value(frame) OVER w) AS donor_frame, count(*) OVER (PARTITION BY split) AS size FROM dk WINDOW w AS (PARTITION BY split ORDER BY draw))"""
+# The donor sees the camera-space centre from its own pose; the extent turns by donor times own transposed.
+SHUFFLED_EXTENT = ", ".join(
+    " + ".join(f"abs(d.r{i}0 * o.r{j}0 + d.r{i}1 * o.r{j}1 + d.r{i}2 * o.r{j}2) * o.we{b}" for j, b in enumerate("xyz")) + f" AS se{a}" for i, a in enumerate("xyz")
+)
+SHUFFLED_SQL = DONOR + f""", so AS (SELECT o.*, d.px + d.r00*o.cx - d.r01*o.cy - d.r02*o.cz AS sx, d.py + d.r10*o.cx - d.r11*o.cy - d.r12*o.cz AS sy, d.pz + d.r20*o.cx - d.r21*o.cy - d.r22*o.cz AS sz, {SHUFFLED_EXTENT}
+ FROM fo o JOIN dn k USING (split, cluster_id, frame) JOIN (SELECT DISTINCT cluster_id, frame, px, py, pz, {", ".join(PT.ROTATION)} FROM su) d ON d.cluster_id = k.donor_cluster_id AND d.frame = k.donor_frame)"""
+
+
+def donors(spark, folder):
+    keys = V.observations(spark, folder).select("split", "cluster_id", "frame")
+    return T.donor_assignment(keys, ["split"], ["cluster_id", "frame"], 6)
+
+
+def posed(spark, folder):
+    """Posed summaries with the world extent the pose gives."""
+    r = PT.rotation_columns()
+    extent = {f"we{n}": sum(F.abs(r[3 * i + j]) * F.col(f"e{m}") for j, m in enumerate("xyz")) for i, n in enumerate("xyz")}
+    return posed_summaries(spark, folder).withColumns(extent)
+
+
+def shuffled(spark, folder):
+    """Posed summaries with centre and extent under the donor's pose besides."""
+    frames = PT.with_rotation(poses(spark, folder))
+    joined = T.with_donor_pose(frames, donors(spark, folder), ["split"], ["cluster_id", "frame"], ["px", "py", "pz", *PT.ROTATION])
+    keep = ["cluster_id", "frame", *[f"donor_{c}" for c in ("px", "py", "pz", *PT.ROTATION)]]
+    return T.shuffled_pose(posed(spark, folder).join(joined.select(*keep), ["cluster_id", "frame"]))
+
+
+def observed(spark, folder, with_shuffled=False):
     """Observation summaries with a unit embedding: everything a pair feature reads."""
     a, t = F.col("attribute"), F.col("frame")
-    rotation = PT.rotation_columns()
-    base = posed_summaries(spark, folder)
+    base = shuffled(spark, folder) if with_shuffled else posed(spark, folder)
     d25 = F.col("cz") - 0.05 * (1 + a % 3)
     d75 = F.col("cz") + 0.04 * (1 + a % 4)
-    extent = {f"we{n}": sum(F.abs(rotation[3 * i + j]) * F.col(f"e{m}") for j, m in enumerate("xyz")) for i, n in enumerate("xyz")}
     vectors = V.table(spark, folder, "embeddings")
     embedded = vectors.select("vec_id", X.unit_embedding(F.col("embedding")).alias("unit"))
     return base.withColumns(
         {
             "mx": (a % 32) / 32, "my": (t % 24) / 24, "crop_w": 4 + a % 9, "crop_h": 4 + t % 6, "aspect": (4 + a % 9) / (4 + t % 6),
             "visibility": 1 + F.floor(F.col("area") * 0.8), "d50": F.col("cz"), "d25": d25, "d05": d25 - 0.1 * (1 + t % 2), "d75": d75, "d95": d75 + 0.1,
-            **extent, "vec_id": F.col("observation_id") % vectors.count(),
+            "vec_id": F.col("observation_id") % vectors.count(),
         }
     ).join(embedded, "vec_id")
 
 
-def pair_table(spark, folder, fields=None):
+def pair_table(spark, folder, fields=None, with_shuffled=False):
     pairs = V.pairs(spark, folder).select("pair_id", "cluster_id", "split", "label", "kind", "gap", "gap_bin", "observation_id_a", "observation_id_b")
-    return X.with_endpoints(pairs, observed(spark, folder), fields or FIELDS)
+    return X.with_endpoints(pairs, observed(spark, folder, with_shuffled), fields or FIELDS + SHUFFLED_FIELDS * with_shuffled)
 
 
-def wide_features(spark, folder):
+def wide_features(spark, folder, with_shuffled=False):
+    """Every feature of the systems; those of the shuffled system on demand, as they need donor poses."""
     columns = {
         **X.shared_features(), **X.geometry_features("camera", ("cx", "cy", "cz"), ("ex", "ey", "ez")),
         **X.geometry_features("world", ("wx", "wy", "wz"), ("wex", "wey", "wez")), **X.pose_features(("px", "py", "pz"), PT.ROTATION),
     }
-    return pair_table(spark, folder).select("pair_id", "cluster_id", "split", "label", "kind", "gap_bin", *[c.alias(n) for n, c in columns.items()])
+    if with_shuffled:
+        columns |= X.geometry_features("shuffled", SHUFFLED_FIELDS[:3], SHUFFLED_FIELDS[3:])
+    return pair_table(spark, folder, with_shuffled=with_shuffled).select("pair_id", "cluster_id", "split", "label", "kind", "gap_bin", *[c.alias(n) for n, c in columns.items()])
 
 
 def lr(n: str) -> str:
@@ -63,14 +97,20 @@ def geo_sql(space: str, c: list[str], e: list[str]) -> str:
     return ", ".join(f"{p} AS {n}" for p, n in zip(parts, X.geometry_names(space)))
 
 
-WIDE_SQL = f"""WITH {V.PAIRS}{OBSERVED}, wide AS (SELECT p.pair_id, p.cluster_id, p.split, p.label, p.kind, p.gap_bin, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cosine, p.gap::DOUBLE AS gap, abs(a.mx - b.mx) AS dx, abs(a.my - b.my) AS dy,
+def wide_sql(with_shuffled: bool) -> str:
+    more = ", " + geo_sql("shuffled", SHUFFLED_FIELDS[:3], SHUFFLED_FIELDS[3:]) if with_shuffled else ""
+    seen = "so" if with_shuffled else "fo"
+    return f"""WITH {V.PAIRS}{OBSERVED}{SHUFFLED_SQL if with_shuffled else ''}, wide AS (SELECT p.pair_id, p.cluster_id, p.split, p.label, p.kind, p.gap_bin, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cosine, p.gap::DOUBLE AS gap, abs(a.mx - b.mx) AS dx, abs(a.my - b.my) AS dy,
  sqrt((a.mx - b.mx) ** 2 + (a.my - b.my) ** 2) AS dxy, {lr('area')} AS area_ratio, (ln(1 + a.area) + ln(1 + b.area)) / 2 AS area_mean, abs(ln((a.crop_w * a.crop_h) / (b.crop_w * b.crop_h))) AS crop_ratio,
  (ln(1 + a.crop_w * a.crop_h) + ln(1 + b.crop_w * b.crop_h)) / 2 AS crop_mean, {lr('aspect')} AS aspect_ratio, {lr('visibility')} AS visibility_ratio, least(ln(1 + a.visibility), ln(1 + b.visibility)) AS visibility_min,
  {", ".join(f"abs(a.d{n} - b.d{n}) AS depth_{n}" for n in ("05", "25", "50", "75", "95"))}, abs((a.d75 - a.d25) - (b.d75 - b.d25)) AS depth_spread, abs(a.d50 - b.d50) / gap AS depth_rate,
  {geo_sql('camera', ['cx', 'cy', 'cz'], ['ex', 'ey', 'ez'])}, {geo_sql('world', ['wx', 'wy', 'wz'], ['wex', 'wey', 'wez'])},
  sqrt((a.px - b.px)**2 + (a.py - b.py)**2 + (a.pz - b.pz)**2) AS camera_displacement, {RELATIVE.format(t=trace_sql('a.', 'b.'))} AS camera_rotation,
- sqrt((a.px - b.px)**2 + (a.py - b.py)**2 + (a.pz - b.pz)**2) / ((sqrt(a.px**2 + a.py**2 + a.pz**2) + sqrt(b.px**2 + b.py**2 + b.pz**2)) / 2) AS camera_displacement_scaled
- FROM pairs p JOIN fo a ON p.observation_id_a = a.observation_id JOIN fo b ON p.observation_id_b = b.observation_id)"""
+ sqrt((a.px - b.px)**2 + (a.py - b.py)**2 + (a.pz - b.pz)**2) / ((sqrt(a.px**2 + a.py**2 + a.pz**2) + sqrt(b.px**2 + b.py**2 + b.pz**2)) / 2) AS camera_displacement_scaled{more}
+ FROM pairs p JOIN {seen} a ON p.observation_id_a = a.observation_id JOIN {seen} b ON p.observation_id_b = b.observation_id)"""
+
+
+WIDE_SQL, ALL_SQL = wide_sql(False), wide_sql(True)
 
 
 def columns_sql(names, digits=7) -> str:
@@ -126,17 +166,23 @@ def pose_controls(spark, folder):
     return rounded(rounded(out, ["camera_displacement", "camera_displacement_scaled"]), ["camera_rotation"], 4)
 
 
-@query("P16_structural_zero", f"""{WIDE_SQL}, f AS (SELECT cluster_id, gap_bin, 0.0 AS moved, 0.0 AS turned FROM wide)
-SELECT gap_bin, count(*) AS pairs, count(*) FILTER (moved = 0) AS still, count(*) FILTER (turned = 0) AS unturned FROM f GROUP BY 1""")
+@query("P16_structural_zero", f"""{WIDE_SQL}, f AS (SELECT gap_bin, cluster_id % 3 = 0 AS fixed, camera_displacement = 0 AS moved_none FROM wide)
+SELECT gap_bin, count(*) AS pairs, count(*) FILTER (fixed OR moved_none) AS still, count(*) FILTER (fixed OR moved_none) AS unturned, count(*) FILTER (fixed) AS fixed_pairs FROM f GROUP BY 1""")
 def structural_zero(spark, folder):
-    """A fixed camera: rounding noise in the pose must come out as exactly zero."""
+    """Clusters with a fixed camera, whose position is found from the two observations: the
+    rounding noise must come out as exactly zero, real motion must stay."""
     from ..operators.pairs import suppress_still_rotation
 
-    pairs = V.pairs(spark, folder)
-    moved, turned = F.col("ratio") * 1e-15, F.col("ratio") * 1e-6
-    cleaned = pairs.select("gap_bin", F.when(moved < 1e-12, 0.0).otherwise(moved).alias("moved"), suppress_still_rotation(moved, turned).alias("turned"))
+    p = lambda side, axis: F.col(f"p{axis}_{side}")
+    # Both endpoints see the same camera: where it is, as computed back from each world centre.
+    found = lambda side, axis: F.col(f"w{axis}_{side}") - (F.col(f"w{axis}_{side}") - p("a", axis))
+    apart = lambda at: F.sqrt(sum((at("a", x) - at("b", x)) ** 2 for x in "xyz"))
+    joined = pair_table(spark, folder, ["wx", "wy", "wz", "px", "py", "pz"])
+    fixed = F.col("cluster_id") % 3 == 0
+    moved = joined.select("gap_bin", fixed.alias("fixed"), F.when(fixed, apart(found)).otherwise(apart(p)).alias("raw"))
+    cleaned = moved.withColumn("moved", suppress_still_rotation(F.col("raw"), F.col("raw"))).withColumn("turned", suppress_still_rotation(F.col("raw"), F.col("raw") * 1e6 + 1e-6))
     return cleaned.groupBy("gap_bin").agg(
-        F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("moved") == 0).alias("still"), F.count_if(F.col("turned") == 0).alias("unturned")
+        F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("moved") == 0).alias("still"), F.count_if(F.col("turned") == 0).alias("unturned"), F.count_if("fixed").alias("fixed_pairs")
     )
 
 
@@ -145,37 +191,69 @@ def feature_allowlist(spark, folder):
     return rounded(X.system_matrix(wide_features(spark, folder), "B_plane"), X.SYSTEMS["B_plane"], 10)
 
 
-@query("P8_system_catalog_audit", WIDE_SQL + """ SELECT check_name, passed, (SELECT count(*) FROM wide) AS pairs_covered FROM (VALUES ('twin_widths', true), ('twin_correspondence', true), ('pose_disjoint', true), ('features_unique', true)) t(check_name, passed)""")
+@query("P8_system_catalog_audit", ALL_SQL + """ SELECT catalog, check_name, passed, (SELECT count(*) FROM wide) AS pairs_covered FROM (VALUES
+ ('built', 'twin_widths', true), ('built', 'twin_correspondence', true), ('built', 'pose_disjoint', true), ('built', 'features_unique', true),
+ ('faulty', 'twin_widths', false), ('faulty', 'twin_correspondence', false), ('faulty', 'pose_disjoint', false), ('faulty', 'features_unique', false)) t(catalog, check_name, passed)""")
 def system_audit(spark, folder):
-    """The catalog is checked together with the table it will project."""
-    wide = wide_features(spark, folder)
-    systems = {s: f for s, f in X.SYSTEMS.items() if all(n in wide.columns for n in f)}
+    """The catalog of all systems, checked with the table it will project, and one with a
+    fault for each check: a pose scalar more in a twin, and a feature twice elsewhere."""
+    wide = wide_features(spark, folder, with_shuffled=True)
+    missing = {n for f in X.SYSTEMS.values() for n in f} - set(wide.columns)
+    if missing:
+        raise ValueError(f"the feature table lacks {sorted(missing)}")
+    faulty = {**X.SYSTEMS, "D_world": (*X.SYSTEMS["D_world"], X.POSE[0]), "B_plane": (*X.SYSTEMS["B_plane"], X.APPEARANCE[0])}
     covered = wide.agg(F.count(F.lit(1)).alias("pairs_covered"))
-    return X.catalog_audit(X.system_catalog(spark, systems), ("C_camera", "D_world"), "P_pose_only").withColumn("pairs_covered", covered.scalar())
+    audits = [X.catalog_audit(X.system_catalog(spark, s), ("C_camera", "D_world"), "P_pose_only").withColumn("catalog", F.lit(n)) for n, s in (("built", X.SYSTEMS), ("faulty", faulty))]
+    return audits[0].unionByName(audits[1]).withColumn("pairs_covered", covered.scalar())
 
 
-M9_SYSTEMS = ("A_appearance", "B_plane", "C_camera", "D_world", "G_camera_only", "G_world_only", "P_pose_only")
-
-
-@query("M9_system_matrices", WIDE_SQL + ", j AS (" + " UNION ALL ".join(
-    f"SELECT '{s}' AS system, pair_id, {len(X.SYSTEMS[s])} AS width, {' + '.join(X.SYSTEMS[s])} AS row_sum FROM wide" for s in M9_SYSTEMS
+@query("M9_system_matrices", ALL_SQL + ", j AS (" + " UNION ALL ".join(
+    f"SELECT '{s}' AS system, pair_id, {len(f)} AS width, {' + '.join(f)} AS row_sum FROM wide" for s, f in X.SYSTEMS.items()
 ) + ") SELECT system, pair_id, width, CASE WHEN system = 'P_pose_only' THEN round(row_sum, 3) ELSE round(row_sum, 9) END AS row_sum FROM j")
 def system_matrices(spark, folder):
     """All systems from one wide table: each row is projected once per system, without a join."""
-    wide = wide_features(spark, folder)
+    wide = wide_features(spark, folder, with_shuffled=True)
     total = lambda names: sum((F.col(n) for n in names[1:]), F.col(names[0]))
-    rows = F.explode(F.array(*[F.struct(F.lit(s).alias("system"), F.lit(len(X.SYSTEMS[s])).alias("width"), total(X.SYSTEMS[s]).alias("row_sum")) for s in M9_SYSTEMS]))
+    rows = F.explode(F.array(*[F.struct(F.lit(s).alias("system"), F.lit(len(f)).alias("width"), total(f).alias("row_sum")) for s, f in X.SYSTEMS.items()]))
     return wide.select("pair_id", rows.alias("_r")).select("_r.system", "pair_id", "_r.width",
         # The angle near zero carries acos noise, so it is compared with fewer digits.
         F.when(F.col("_r.system") == "P_pose_only", F.round("_r.row_sum", 3)).otherwise(F.round("_r.row_sum", 9)).alias("row_sum"),
     )
 
 
-@query("M10_matrix_audit", WIDE_SQL + f""" SELECT system AS "system", width, 0::BIGINT AS bad_values, (SELECT count(*) FROM wide) AS pairs FROM (VALUES {', '.join(f"('{s}', {len(X.SYSTEMS[s])})" for s in M9_SYSTEMS)}) t(system, width)""")
+@query("M10_matrix_audit", ALL_SQL + f""" SELECT system AS "system", width, 0::BIGINT AS bad_values, CASE WHEN looks THEN (SELECT count(*) FROM wide WHERE gap_bin = 'short') ELSE 0 END AS seeded_bad_values, (SELECT count(*) FROM wide) AS pairs
+FROM (VALUES {', '.join(f"('{s}', {len(f)}, {'cosine' in f})" for s, f in X.SYSTEMS.items())}) t(system, width, looks)""")
 def matrix_audit(spark, folder):
-    wide = wide_features(spark, folder)
-    names = sorted({n for s in M9_SYSTEMS for n in X.SYSTEMS[s]})
-    report = finite_report(wide, names).select(F.col("column").alias("feature"), "bad")
-    catalog = X.system_catalog(spark, {s: X.SYSTEMS[s] for s in M9_SYSTEMS})
-    per_system = catalog.join(report, "feature").groupBy("system").agg(F.count(F.lit(1)).cast("int").alias("width"), F.sum("bad").alias("bad_values"))
-    return per_system.withColumn("pairs", wide.agg(F.count(F.lit(1))).scalar())
+    """Width and finiteness of every system; once more with the cosine of short gaps spoiled."""
+    wide = wide_features(spark, folder, with_shuffled=True)
+    names = sorted({n for f in X.SYSTEMS.values() for n in f})
+    spoiled = wide.withColumn("spoiled", F.when(F.col("gap_bin") == "short", float("nan")).otherwise(F.col("cosine")))
+    report = finite_report(spoiled, [*names, "spoiled"]).select(F.col("column").alias("feature"), "bad").collect()  # one row per feature
+    bad = {r["feature"]: r["bad"] for r in report}
+    rows = [(s, len(f), sum(bad[n] for n in f), sum(bad["spoiled" if n == "cosine" else n] for n in f)) for s, f in X.SYSTEMS.items()]
+    audited = spark.createDataFrame(rows, "system string, width int, bad_values long, seeded_bad_values long")
+    return audited.withColumn("pairs", wide.agg(F.count(F.lit(1))).scalar())
+
+
+@query("M10_pose_audits", WIDE_SQL + DONOR + """, po AS (SELECT cluster_id, count(DISTINCT (px, py, pz, r00, r01, r02, r10, r11, r12)) AS poses FROM su GROUP BY 1)
+SELECT 'pose_fixed_in_cluster' AS check_name, count(*) AS rows, count(*) FILTER (poses > 1) AS violations FROM po
+UNION ALL SELECT 'still_means_unturned', count(*), count(*) FILTER (camera_displacement = 0 AND camera_rotation > 0) FROM wide
+UNION ALL SELECT 'no_own_donor', count(*), count(*) FILTER (donor_cluster_id = cluster_id AND donor_frame = frame) FROM dn
+UNION ALL SELECT 'no_own_donor_seeded', count(*), count(*) FILTER (frame % 5 = 0 OR (donor_cluster_id = cluster_id AND donor_frame = frame)) FROM dn""")
+def pose_audits(spark, folder):
+    """Clusters whose camera moves, pairs that turn without moving, frames that are their own
+    donor, and the last once more with every fifth frame made its own."""
+    seen = PT.with_rotation(poses(spark, folder))
+    moves = seen.groupBy("cluster_id").agg(F.count_distinct(*[F.col(c) for c in ("px", "py", "pz", *PT.ROTATION[:6])]).alias("poses"))
+    displacement = X.pose_features(("px", "py", "pz"), PT.ROTATION)
+    pairs = pair_table(spark, folder, ["px", "py", "pz", *PT.ROTATION]).select(*[displacement[n].alias(n) for n in X.POSE[:2]])
+    assigned = donors(spark, folder)
+    seeded = assigned.withColumns({f"donor_{k}": F.when(F.col("frame") % 5 == 0, F.col(k)).otherwise(F.col(f"donor_{k}")) for k in ("cluster_id", "frame")})
+    fixed = [T.fixed_points(a, ["cluster_id", "frame"]).select(F.lit(n).alias("check_name"), F.col("keys").alias("rows"), F.col("fixed_points").alias("violations"))
+             for n, a in (("no_own_donor", assigned), ("no_own_donor_seeded", seeded))]
+    count = lambda df, name, bad: df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("violations")).select(F.lit(name).alias("check_name"), "rows", "violations")
+    return (
+        count(moves, "pose_fixed_in_cluster", F.col("poses") > 1)
+        .unionByName(count(pairs, "still_means_unturned", (F.col("camera_displacement") == 0) & (F.col("camera_rotation") > 0)))
+        .unionByName(fixed[0]).unionByName(fixed[1])
+    )

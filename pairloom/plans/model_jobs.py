@@ -11,9 +11,9 @@ from ..operators import model as L
 from ..operators import points as PT
 from ..operators import stress as T
 from . import views as V
-from .feature_jobs import EXTENT_SQL, WIDE_SQL, observed, wide_features
+from .feature_jobs import ALL_SQL, DONOR, EXTENT_SQL, donors, posed, shuffled, wide_features
 from .metric_jobs import REPLICATES, draws_sql, replicate_sql
-from .point_jobs import SUMMARY, posed_summaries
+from .point_jobs import SUMMARY
 from .registry import query
 
 SIMPLE = ("ratio", "gap", "near")
@@ -105,16 +105,13 @@ def flat_model(features) -> L.Linear:
     return L.Linear(tuple(features), (0.0,) * n, (1.0,) * n, (-1.0 / n,) * n, 0.5)
 
 
-SWEEP = {s: f for s, f in X.SYSTEMS.items() if s not in ("S_shuffled", "P_pose_only")}
-
-
-@query("M5_system_sweep", f"""{WIDE_SQL}, s AS ({" UNION ALL ".join(f"SELECT pair_id, split, label, '{s}' AS system, 1 / (1 + exp(-(0.5 - ({' + '.join(f)}) / {len(f)}))) AS score FROM wide" for s, f in SWEEP.items())}),
+@query("M5_system_sweep", f"""{ALL_SQL}, s AS ({" UNION ALL ".join(f"SELECT pair_id, split, label, '{s}' AS system, 1 / (1 + exp(-(0.5 - ({' + '.join(f)}) / {len(f)}))) AS score FROM wide" for s, f in X.SYSTEMS.items())}),
 k AS (SELECT split, system, score, label FROM s)
 SELECT p.split, p.system, count(*) AS comparisons, round(sum(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0 END) / count(*), 5) AS auroc
 FROM k p JOIN k n ON p.split = n.split AND p.system = n.system AND p.label = 1 AND n.label = 0 WHERE p.split <> 'train' GROUP BY ALL""")
 def system_sweep(spark, folder):
-    wide = wide_features(spark, folder).where("split <> 'train'")
-    scored = L.scored_by(wide, {s: flat_model(f) for s, f in SWEEP.items()}, ["pair_id", "split", "label"])
+    wide = wide_features(spark, folder, with_shuffled=True).where("split <> 'train'")
+    scored = L.scored_by(wide, {s: flat_model(f) for s, f in X.SYSTEMS.items()}, ["pair_id", "split", "label"])
     out = M.ranking_metrics(M.score_ladder(scored, ["split", "system"]), ["split", "system"])
     return out.select("split", "system", (F.col("positives") * F.col("negatives")).alias("comparisons"), F.round("auroc", 5).alias("auroc"))
 
@@ -149,25 +146,9 @@ def transfer(spark, folder):
 
 # --- pose stress -------------------------------------------------------------
 
-GRID = T.noise_grid((0.0, 0.1, 0.5), (0.0, 1.0, 5.0))
+GRID = T.noise_grid()
 GRID_SQL = ", ".join(f"('{c}', {t}, {r})" for c, t, r in GRID)
-FULL_GRID_SQL = ", ".join(f"('{c}', {t}, {r})" for c, t, r in T.noise_grid())
 POSED = f"WITH {V.OBS}{SUMMARY}, wo AS (SELECT *, {EXTENT_SQL} FROM su)"
-DONOR = """, dk AS (SELECT DISTINCT split, cluster_id, frame, sha256('6|' || split || '|' || cluster_id || '|' || frame) AS draw FROM obs),
-dn AS (SELECT *, coalesce(lead(cluster_id) OVER w, first_value(cluster_id) OVER w) AS donor_cluster_id, coalesce(lead(frame) OVER w, first_value(frame) OVER w) AS donor_frame, count(*) OVER (PARTITION BY split) AS size FROM dk WINDOW w AS (PARTITION BY split ORDER BY draw))"""
-
-
-def donors(spark, folder):
-    keys = V.observations(spark, folder).select("split", "cluster_id", "frame")
-    return T.donor_assignment(keys, ["split"], ["cluster_id", "frame"], 6)
-
-
-def posed(spark, folder):
-    """Posed summaries with the world extent the pose gives."""
-    base = posed_summaries(spark, folder)
-    r = PT.rotation_columns()
-    extent = {f"we{n}": sum(F.abs(r[3 * i + j]) * F.col(f"e{m}") for j, m in enumerate("xyz")) for i, n in enumerate("xyz")}
-    return base.withColumns(extent)
 
 
 @query("W6_donor_frames", f"WITH {V.OBS}{DONOR} SELECT split, cluster_id, frame, donor_cluster_id, donor_frame FROM dn")
@@ -191,15 +172,6 @@ def donor_poses(spark, folder):
     return out.select("cluster_id", "frame", *[F.round(f"donor_p{a}", 7).alias(f"donor_p{a}") for a in "xyz"])
 
 
-def shuffled(spark, folder):
-    from .point_jobs import poses
-
-    frames = PT.with_rotation(poses(spark, folder))
-    joined = T.with_donor_pose(frames, donors(spark, folder), ["split"], ["cluster_id", "frame"], ["px", "py", "pz", *PT.ROTATION])
-    keep = ["cluster_id", "frame", *[f"donor_{c}" for c in ("px", "py", "pz", *PT.ROTATION)]]
-    return T.shuffled_pose(posed(spark, folder).join(joined.select(*keep), ["cluster_id", "frame"]))
-
-
 # The donor sees the camera-space centre from its own pose, which is the same thing.
 @query("F22_shuffled_centres", f"""{POSED}{DONOR}, s AS (SELECT o.observation_id, d.px + d.r00*o.cx - d.r01*o.cy - d.r02*o.cz AS sx, d.py + d.r10*o.cx - d.r11*o.cy - d.r12*o.cz AS sy, d.pz + d.r20*o.cx - d.r21*o.cy - d.r22*o.cz AS sz
  FROM wo o JOIN dn k USING (split, cluster_id, frame) JOIN (SELECT DISTINCT cluster_id, frame, px, py, pz, r00, r01, r02, r10, r11, r12, r20, r21, r22 FROM su) d ON d.cluster_id = k.donor_cluster_id AND d.frame = k.donor_frame)
@@ -208,18 +180,17 @@ def shuffled_centres(spark, folder):
     return shuffled(spark, folder).select("observation_id", *[F.round(f"s{a}", 7).alias(f"s{a}") for a in "xyz"])
 
 
-@query("F23_noise_grid", f"WITH {V.OBS}, g(condition_id, translation_sd, rotation_sd) AS (VALUES {FULL_GRID_SQL}) SELECT condition_id, translation_sd::DOUBLE AS translation_sd, rotation_sd::DOUBLE AS rotation_sd, (SELECT count(*) FROM obs) AS rows FROM g")
+@query("F23_noise_grid", f"WITH {V.OBS}, g(condition_id, translation_sd, rotation_sd) AS (VALUES {GRID_SQL}) SELECT condition_id, translation_sd::DOUBLE AS translation_sd, rotation_sd::DOUBLE AS rotation_sd, (SELECT count(*) FROM obs) AS rows FROM g")
 def noise_grid(spark, folder):
-    crossed = T.with_conditions(V.observations(spark, folder).select("observation_id"), T.noise_grid())
+    crossed = T.with_conditions(V.observations(spark, folder).select("observation_id"), GRID)
     return crossed.groupBy("condition_id", "translation_sd", "rotation_sd").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("J11_grid_times_frames", f"WITH {V.OBS}, fr AS (SELECT DISTINCT cluster_id, frame FROM obs), g(condition_id, t, r) AS (VALUES {FULL_GRID_SQL}) SELECT condition_id, cluster_id, count(*) AS frames FROM fr, g GROUP BY ALL")
+@query("J11_grid_times_frames", f"WITH {V.OBS}, fr AS (SELECT DISTINCT cluster_id, frame FROM obs), g(condition_id, t, r) AS (VALUES {GRID_SQL}) SELECT condition_id, cluster_id, count(*) AS frames, sum(frame)::BIGINT AS frame_sum FROM fr, g GROUP BY ALL")
 def grid_times_frames(spark, folder):
     frames = V.observations(spark, folder).select("cluster_id", "frame").distinct()
-    # Counting first keeps the crossed table at one row per cluster and condition.
-    per_cluster = frames.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("frames"))
-    return T.with_conditions(per_cluster, T.noise_grid()).select("condition_id", "cluster_id", "frames")
+    crossed = T.with_conditions(frames, GRID)
+    return crossed.groupBy("condition_id", "cluster_id").agg(F.count(F.lit(1)).alias("frames"), F.sum("frame").alias("frame_sum"))
 
 
 def uniform_sql(i: int) -> str:
@@ -276,16 +247,16 @@ def noisy_summaries(spark, folder):
 s AS (SELECT p.split, p.label, a.condition_id, round(1 / (1 + exp(-(1.0 - 0.5 * sqrt((a.vx-b.vx)**2 + (a.vy-b.vy)**2 + (a.vz-b.vz)**2) - 0.05 * p.gap))), 9) AS score FROM pairs p JOIN nv a ON a.observation_id = p.observation_id_a JOIN nv b ON b.observation_id = p.observation_id_b AND a.condition_id = b.condition_id WHERE p.split = 'test')
 SELECT n.condition_id, count(*) AS comparisons, round(sum(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0 END) / count(*), 5) AS auroc FROM s p JOIN s n ON p.condition_id = n.condition_id AND p.label = 1 AND n.label = 0 GROUP BY 1""")
 def noise_grid_scores(spark, folder):
-    """A locked world-distance scorer over every condition, without a refit."""
+    """A locked world-distance scorer over every condition, without a refit. An observation
+    carries its centres under all conditions as one array, so pairs meet it once per endpoint."""
     pairs = V.pairs(spark, folder).where("split = 'test'").select("pair_id", "cluster_id", "label", "gap", "observation_id_a", "observation_id_b")
-    grid = F.array(*[F.lit(c) for c, _, _ in GRID])
-    crossed = pairs.withColumn("condition_id", F.explode(grid))
-    moved = noisy(spark, folder).select("cluster_id", "condition_id", "observation_id", "vx", "vy", "vz")
-
-    def side(s):
-        return moved.select("cluster_id", "condition_id", *[F.col(c).alias(f"{c}_{s}") for c in ("observation_id", "vx", "vy", "vz")])
-
-    joined = crossed.join(side("a"), ["cluster_id", "condition_id", "observation_id_a"]).join(side("b"), ["cluster_id", "condition_id", "observation_id_b"])
+    # Grouped on the keys of the join that made them, and more: no further shuffle.
+    moved = noisy(spark, folder).where("split = 'test'").groupBy("cluster_id", "frame", "observation_id").agg(
+        F.sort_array(F.collect_list(F.struct("condition_id", "vx", "vy", "vz"))).alias("at")
+    )
+    joined = X.with_endpoints(pairs, moved, ["at"]).select("label", "gap", F.explode(F.arrays_zip("at_a", "at_b")).alias("_z")).select(
+        "label", "gap", "_z.at_a.condition_id", *[F.col(f"_z.at_{s}.v{x}").alias(f"v{x}_{s}") for s in "ab" for x in "xyz"]
+    )
     columns = X.geometry_features("world", ("vx", "vy", "vz"), ("vx", "vy", "vz"))
     featured = joined.select("condition_id", "label", columns["world_distance"].alias("distance"), F.col("gap").cast("double").alias("gap"))
     model = L.Linear(("distance", "gap"), (0.0, 0.0), (1.0, 1.0), (-0.5, -0.05), 1.0)
