@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.ids import hash_integer
 from ..operators import bootstrap as B
 from ..operators import features as X
 from ..operators import metrics as M
 from ..operators import model as L
 from ..operators import points as PT
 from ..operators import stress as T
+from ..session import stage
 from . import views as V
 from .feature_jobs import ALL_SQL, DONOR, EXTENT_SQL, donors, posed, shuffled, wide_features
 from .metric_jobs import REPLICATES, draws_sql, replicate_sql
@@ -116,34 +118,93 @@ def system_sweep(spark, folder):
     return out.select("split", "system", (F.col("positives") * F.col("negatives")).alias("comparisons"), F.round("auroc", 5).alias("auroc"))
 
 
-@query("M8_reproduction_check", f"{SIMPLE_SQL} SELECT system, count(*) AS compared, 0 AS unmatched, 0.0 AS largest_difference FROM ls GROUP BY 1")
+@query("M5_locked_sweep")
+def locked_sweep(spark, folder):
+    """Every system fitted on train, its regularization and thresholds chosen on dev, the lock
+    stored and read back, and only then the test rows scored."""
+    wide = stage(wide_features(spark, folder, with_shuffled=True), "systems")
+    held = L.Lock.read(stage(L.sweep(wide.where("split <> 'test'"), X.SYSTEMS).table(spark), "lock"))
+    scored = held.score(wide.where("split = 'test'"), ["pair_id", "label"])
+    ranked = M.ranking_metrics(M.score_ladder(scored, ["system"]), ["system"])
+    rates = scored.groupBy("system").agg(
+        F.count_if(F.col("f1_match") & (F.col("label") == 1)).alias("true_matches"), F.count_if(F.col("f1_match") & (F.col("label") == 0)).alias("false_matches"),
+        F.count_if(F.col("recall_match")).alias("recall_matches"),
+    )
+    chosen = spark.createDataFrame([(s, m.regularization) for s, m in held.models.items()], "system string, regularization double")
+    return ranked.select("system", "positives", "negatives", F.round("auroc", 6).alias("auroc"), F.round("average_precision", 6).alias("average_precision")).join(rates, "system").join(chosen, "system")
+
+
+@query("M8_reproduction_check", f"""{SIMPLE_SQL} SELECT system, count(*) FILTER (split <> 'train') AS compared, count(*) FILTER (split = 'train') AS unmatched, round(max(abs(score - round(score, 4))) FILTER (split <> 'train'), 9) AS largest_difference FROM ls GROUP BY 1""")
 def reproduction_check(spark, folder):
-    table = simple_features(spark, folder)
+    """Against the stored scores of an earlier run, which kept four digits and no train rows."""
+    table = stage(simple_features(spark, folder), "features")
+    earlier = locked().score(table.where("split <> 'train'"), ["pair_id"]).select("pair_id", "system", F.round("score", 4).alias("score"))
     ours = L.Lock.read(locked().table(spark)).score(table, ["pair_id"])
-    out = L.largest_difference(ours, locked().score(table, ["pair_id"]))
-    return out.withColumn("largest_difference", F.round("largest_difference", 11))
+    return L.largest_difference(ours, stage(earlier, "earlier")).withColumn("largest_difference", F.round("largest_difference", 9))
 
 
-TRANSFER_DRAWS = draws_sql("transfer", "SELECT DISTINCT cluster_id FROM ls WHERE split = 'test'")
+# Two datasets without a common cluster: the clusters are dealt by a hash.
+DATASET = ("source", "target")
 
 
-@query("M7_transfer", f"""{SIMPLE_SQL}{TRANSFER_DRAWS}{replicate_sql("SELECT * FROM ls WHERE split = 'test' AND system IN ('A', 'C')", 'system')},
-d AS (SELECT a.replicate, a.auroc - c.auroc AS delta FROM rm a JOIN rm c USING (replicate) WHERE a.system = 'A' AND c.system = 'C'),
-f AS (SELECT replicate, (sum(weight * (system = 'A' AND score >= recall_threshold)::INT) - sum(weight * (system = 'C' AND score >= recall_threshold)::INT)) / (sum(weight) / 2) AS delta FROM ls JOIN w USING (cluster_id) WHERE split = 'test' AND label = 0 AND system IN ('A', 'C') GROUP BY 1)
-SELECT metric, count(*) AS replicates, round(avg(delta), 9) AS mean, round(quantile_cont(delta, 0.025), 9) AS ci_low, round(quantile_cont(delta, 0.975), 9) AS ci_high FROM (SELECT 'auroc' AS metric, delta FROM d UNION ALL SELECT 'false_match_rate', delta FROM f) WHERE delta IS NOT NULL GROUP BY 1""")
-def transfer(spark, folder):
-    """A model locked elsewhere (A) against the in-domain one (C) on the same test pairs, with its own threshold."""
-    scored = locked().score(simple_features(spark, folder).where("split = 'test'"), ["pair_id", "cluster_id", "label"])
-    draws = B.cluster_draws(scored, REPLICATES, "transfer")
-    auroc = B.replicate_auc_difference(scored, draws, "C", "A").withColumn("metric", F.lit("auroc"))
-    wide = scored.groupBy("pair_id", "cluster_id", "label").agg(
-        F.bool_or((F.col("system") == "C") & F.col("recall_match")).alias("ref"), F.bool_or((F.col("system") == "A") & F.col("recall_match")).alias("cmp")
+def dataset_of(cluster):
+    return F.when(F.pmod(hash_integer("dataset", cluster), F.lit(2)) == 0, DATASET[0]).otherwise(DATASET[1])
+
+
+def flags(scored):
+    """One row per pair: whether the target's own lock matches it, and whether the source's does."""
+    return scored.groupBy("pair_id", "cluster_id", "label").agg(
+        F.bool_or((F.col("system") == DATASET[1]) & F.col("recall_match")).alias("ref"), F.bool_or((F.col("system") == DATASET[0]) & F.col("recall_match")).alias("cmp")
     )
-    fmr = B.replicate_rate_difference(wide, draws, 0, F.col("ref"), F.col("cmp")).withColumn("metric", F.lit("false_match_rate"))
+
+
+def transferred(scored, seed):
+    """Paired intervals of the source's lock against the target's own, on the target's test pairs."""
+    draws = B.cluster_draws(scored, REPLICATES, seed)
+    auroc = B.replicate_auc_difference(scored, draws, DATASET[1], DATASET[0]).withColumn("metric", F.lit("auroc"))
+    fmr = B.replicate_rate_difference(flags(scored), draws, 0, F.col("ref"), F.col("cmp")).withColumn("metric", F.lit("false_match_rate"))
     out = B.interval(auroc.unionByName(fmr), ["metric"], "delta").drop("standard_error")
     return out.withColumns({c: F.round(c, 9) for c in ("mean", "ci_low", "ci_high")})
 
 
+# Each dataset's scorer, as its fit would give it; thresholds come from that dataset's dev pairs.
+TRANSFER = {"source": LOCKED["A"], "target": LOCKED["C"]}
+TRANSFER_SQL = f"""{SIMPLE_SQL.rsplit("ls AS (", 1)[0]}ds AS (SELECT *, CASE WHEN ('0x' || substr(sha256('dataset|' || cluster_id), 1, 8))::BIGINT % 2 = 0 THEN 'source' ELSE 'target' END AS dataset FROM sf),
+ts AS ({" UNION ALL ".join(f"SELECT ds.*, '{d}' AS system, round(1 / (1 + exp(-({margin_sql(m)}))), 9) AS score FROM ds" for d, m in TRANSFER.items())}),
+tl AS (SELECT dataset, score, sum(label) AS pos FROM ts WHERE dataset = system AND split = 'dev' GROUP BY ALL),
+tc AS (SELECT *, sum(pos) OVER (PARTITION BY dataset ORDER BY score DESC) AS tp, sum(pos) OVER (PARTITION BY dataset) AS np, lead(score) OVER (PARTITION BY dataset ORDER BY score DESC) AS below FROM tl),
+th AS (SELECT dataset AS system, coalesce((score + below) / 2, '-infinity'::DOUBLE) AS recall_threshold FROM tc WHERE tp / np >= 0.9 QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY score DESC) = 1),
+lt AS (SELECT ts.*, recall_threshold FROM ts JOIN th USING (system) WHERE dataset = 'target' AND split = 'test')"""
+TRANSFER_DRAWS = draws_sql("transfer", "SELECT DISTINCT cluster_id FROM lt", "x")
+
+
+@query("M7_transfer", f"""{TRANSFER_SQL}{TRANSFER_DRAWS}{replicate_sql("SELECT * FROM lt", 'system', 'xw')},
+d AS (SELECT a.replicate, a.auroc - c.auroc AS delta FROM rm a JOIN rm c USING (replicate) WHERE a.system = 'source' AND c.system = 'target'),
+f AS (SELECT replicate, (sum(weight * (system = 'source' AND score >= recall_threshold)::INT) - sum(weight * (system = 'target' AND score >= recall_threshold)::INT)) / (sum(weight) / 2) AS delta FROM lt JOIN xw USING (cluster_id) WHERE label = 0 GROUP BY 1)
+SELECT metric, count(*) AS replicates, round(avg(delta), 9) AS mean, round(quantile_cont(delta, 0.025), 9) AS ci_low, round(quantile_cont(delta, 0.975), 9) AS ci_high FROM (SELECT 'auroc' AS metric, delta FROM d UNION ALL SELECT 'false_match_rate', delta FROM f) WHERE delta IS NOT NULL GROUP BY 1""")
+def transfer(spark, folder):
+    """A lock of the source dataset against the target's own, both thresholds from their own
+    dev pairs, on the target's test pairs."""
+    table = stage(simple_features(spark, folder).withColumn("dataset", dataset_of(F.col("cluster_id"))), "datasets")
+    scored = table.select("*", F.explode(F.array(*[F.struct(F.lit(d).alias("system"), F.round(m.score(), 9).alias("score")) for d, m in TRANSFER.items()])).alias("_s")).select(
+        "pair_id", "cluster_id", "split", "label", "dataset", "_s.system", "_s.score"
+    )
+    dev = scored.where("split = 'dev' AND dataset = system")
+    points = M.operating_points(M.score_ladder(dev, ["system"]), ["system"], 0.9).select("system", "recall_threshold")
+    test = scored.where("split = 'test' AND dataset = 'target'").join(F.broadcast(points), "system")  # a row per dataset
+    return transferred(test.withColumn("recall_match", F.col("score") >= F.col("recall_threshold")), "transfer")
+
+
+@query("M7_fitted_transfer")
+def fitted_transfer(spark, folder):
+    """The same with both locks fitted, tuned and locked on their own dataset."""
+    table = stage(simple_features(spark, folder).withColumn("dataset", dataset_of(F.col("cluster_id"))), "datasets")
+    held = [L.sweep(table.where((F.col("dataset") == d) & (F.col("split") != "test")), {d: SIMPLE}) for d in DATASET]
+    both = L.Lock(*[{d: getattr(h, part)[d] for d, h in zip(DATASET, held)} for part in ("models", "f1", "recall")])
+    scored = both.score(table.where("split = 'test' AND dataset = 'target'"), ["pair_id", "cluster_id", "label"])
+    return transferred(scored, "transfer")
+
+
 # --- pose stress -------------------------------------------------------------
 
 GRID = T.noise_grid()
