@@ -305,11 +305,8 @@ def visibility_pair_counts(inventory: DataFrame, cells: str, threshold: int, low
     )
 
 
-def pair_definition_audit(pairs: DataFrame, cutoff: float, cap: int, listed: int = 100) -> DataFrame:
-    """One row per split: counts, checks and up to ``listed`` named violations.
-
-    The list is a report; the checks count every violation.
-    """
+def pair_violations(pairs: DataFrame, cutoff: float) -> DataFrame:
+    """``(split, rule, pair_id)``: every pair that breaks its definition, once per rule it breaks."""
     hard = F.col("kind") == "hard"
     same_instance = F.col("instance_a") == F.col("instance_b")
     same_category = F.col("category_a") == F.col("category_b")
@@ -320,15 +317,16 @@ def pair_definition_audit(pairs: DataFrame, cutoff: float, cap: int, listed: int
         "easy_definition": (F.col("kind") == "easy") & same_category,
     }
     copies = pairs.groupBy("split", "pair_id").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    duplicates = copies.select("split", F.concat_ws(":", F.lit("duplicate"), "pair_id").alias("violation"))
-    broken = pairs.select(
-        "split",
-        F.explode(
-            F.array_compact(
-                F.array(*[F.when(test, F.concat_ws(":", F.lit(name), "pair_id")) for name, test in rules.items()])
-            )
-        ).alias("violation"),
-    ).unionByName(duplicates)
+    broken = F.explode(F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()])))
+    return pairs.select("split", broken.alias("rule"), "pair_id").unionByName(copies.select("split", F.lit("duplicate").alias("rule"), "pair_id"))
+
+
+def pair_definition_audit(pairs: DataFrame, cutoff: float, cap: int, listed: int = 100) -> DataFrame:
+    """One row per split: counts, checks and up to ``listed`` named violations.
+
+    The list is a report; the checks count every violation of :func:`pair_violations`.
+    """
+    broken = pair_violations(pairs, cutoff).select("split", F.concat_ws(":", "rule", "pair_id").alias("violation"))
     # Partial top-n per task keeps the list short before anything is gathered.
     first = Window.partitionBy("split").orderBy("violation")
     named = (

@@ -118,22 +118,6 @@ def system_sweep(spark, folder):
     return out.select("split", "system", (F.col("positives") * F.col("negatives")).alias("comparisons"), F.round("auroc", 5).alias("auroc"))
 
 
-@query("M5_locked_sweep")
-def locked_sweep(spark, folder):
-    """Every system fitted on train, its regularization and thresholds chosen on dev, the lock
-    stored and read back, and only then the test rows scored."""
-    wide = stage(wide_features(spark, folder, with_shuffled=True), "systems")
-    held = L.Lock.read(stage(L.sweep(wide.where("split <> 'test'"), X.SYSTEMS).table(spark), "lock"))
-    scored = held.score(wide.where("split = 'test'"), ["pair_id", "label"])
-    ranked = M.ranking_metrics(M.score_ladder(scored, ["system"]), ["system"])
-    rates = scored.groupBy("system").agg(
-        F.count_if(F.col("f1_match") & (F.col("label") == 1)).alias("true_matches"), F.count_if(F.col("f1_match") & (F.col("label") == 0)).alias("false_matches"),
-        F.count_if(F.col("recall_match")).alias("recall_matches"),
-    )
-    chosen = spark.createDataFrame([(s, m.regularization) for s, m in held.models.items()], "system string, regularization double")
-    return ranked.select("system", "positives", "negatives", F.round("auroc", 6).alias("auroc"), F.round("average_precision", 6).alias("average_precision")).join(rates, "system").join(chosen, "system")
-
-
 @query("M8_reproduction_check", f"""{SIMPLE_SQL} SELECT system, count(*) FILTER (split <> 'train') AS compared, count(*) FILTER (split = 'train') AS unmatched, round(max(abs(score - round(score, 4))) FILTER (split <> 'train'), 9) AS largest_difference FROM ls GROUP BY 1""")
 def reproduction_check(spark, folder):
     """Against the stored scores of an earlier run, which kept four digits and no train rows."""

@@ -457,6 +457,21 @@ def definition_audit(spark, folder):
     return P.pair_definition_audit(quota_sample(spark, folder, pairs), cutoff, CAP).drop("violations")
 
 
+@query("A38_pair_violations", f"""WITH {V.PAIRS}
+SELECT split, 'positive_identity' AS rule, count(*) AS violations FROM pairs WHERE kind = 'easy' AND gap_bin = 'short' GROUP BY 1
+UNION ALL SELECT split, 'easy_definition', count(*) FROM pairs WHERE kind = 'positive' AND gap_bin = 'long' GROUP BY 1
+UNION ALL SELECT split, 'duplicate', count(*) FROM pairs WHERE gap = 7 GROUP BY 1""")
+def violations(spark, folder):
+    """The violations, counted, of the pair table with faults put in: near easy pairs called
+    positive, far positives called easy, and pairs of one gap written twice."""
+    pairs = V.staged_pairs(spark, folder)
+    wrong = F.when((F.col("kind") == "easy") & (F.col("gap_bin") == "short"), "positive").when((F.col("kind") == "positive") & (F.col("gap_bin") == "long"), "easy")
+    faulty = pairs.withColumn("kind", F.coalesce(wrong, "kind"))
+    # The second copies keep their right kind, so they break no rule but that of being copies.
+    found = P.pair_violations(faulty.unionByName(pairs.where("gap = 7")), V.cutoff(spark, folder))
+    return found.groupBy("split", "rule").agg(F.count(F.lit(1)).alias("violations"))
+
+
 @query("F29_visibility_pair_counts", f"""
 WITH {V.OBS}, seen AS (SELECT DISTINCT cluster_id, instance, category, frame % 24 AS frame FROM obs WHERE area >= 10)
 SELECT c.cluster_id, c.instances, c.usable AS usable_observations, coalesce(p.positive_pairs, 0) AS positive_pairs, coalesce(p.hard_pairs, 0) AS hard_pairs
