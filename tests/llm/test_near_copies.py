@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from pairloom.llm import line_dedup, simhash
+import corpus_pipeline
+from pairloom.llm import line_dedup, near_copies, simhash
 from pairloom.llm.components import connected_components
 from pairloom.llm.cuckoo import build
 
@@ -154,6 +155,51 @@ def test_keep_one_per_class(spark):
     assert kept.columns == docs_of(spark, rows).columns
 
 
+def five_word_sets(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("bucket", [64, 3])
+def test_near_copies_match_brute_force(spark, monkeypatch, bucket):
+    monkeypatch.setattr(near_copies, "PAIRED_BUCKET", bucket)
+    draw = random.Random(12)
+    base = [f"w{draw.randrange(400)}" for _ in range(200)]
+    rows = [(5, None), (3, ""), (4, "one"), (8, "ONE"), (7, "Two words"), (6, "a b c d e f g h i j"), (2, "a b c d e f g h i")]
+    for i in range(70):
+        copy = list(base)
+        for _ in range(draw.randrange(10)):
+            copy[draw.randrange(200)] = f"new{draw.randrange(1000)}"
+        rows.append((1000 - i, " ".join(copy)))
+    rows += [(2000 + i, " ".join(f"v{draw.randrange(900)}" for _ in range(40)) + " this one passage is shared by all of these") for i in range(30)]
+    rows += rows[9:12]
+    sets = {i: five_word_sets(t) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    far = 0
+    for a, b in combinations(sets, 2):
+        if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+            far += bin(plain_fingerprint(dict(rows)[a]) ^ plain_fingerprint(dict(rows)[b])).count("1") > 2
+    assert far > 20  # what two bits of the three-word fingerprint do not link
+    got = near_copies.near_copy_classes(docs_of(spark, rows)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted((i, root(i)) for i, _ in rows)
+
+
+def test_pipeline_stage_drops_near_copies_beyond_two_bits(spark):
+    words = [f"w{n * 37 % 211}" for n in range(210)]
+    near = [w if n not in (40, 90, 150) else "other" for n, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, "something else altogether in this text")]
+    assert bin(plain_fingerprint(rows[0][1]) ^ plain_fingerprint(rows[1][1])).count("1") > 2
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs_of(spark, rows), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
 def test_components_of_paths_stars_and_nothing(spark):
     path = [(n, n + 1) for n in range(-40, 40)]
     star = [(1000, 1000 + n) for n in range(1, 50)]
