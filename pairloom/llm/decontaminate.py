@@ -11,12 +11,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from functools import reduce
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..session import stage
 from .common import raw_column, words
@@ -122,6 +124,7 @@ def blocks(benchmark: DataFrame, window: int = WINDOW_WORDS) -> Iterator[Passage
 
 
 _FOUND = "n_words long, spans array<struct<first:int,end:int>>, items array<string>"
+_SPANS_TYPE = ArrayType(StructType([StructField("first", IntegerType()), StructField("end", IntegerType())]))
 _SPANS = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
 
 
@@ -170,23 +173,59 @@ def item_digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
+def _cut(text: bytes, spans: list[dict]) -> bytes:
+    at = [m.span() for m in _WORD.finditer(text)]
+    kept, last = [], 0
+    for span in spans:
+        kept.append(text[last : at[span["first"]][0]])
+        last = at[span["end"] - 1][1]
+    return b"".join([*kept, text[last:]])
+
+
 def remove_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     """``docs`` with all columns, texts without the merged spans. No window is left in a
     text, also none that a cut brings together. Texts without a hit, nulls among them, stay
-    as they are.
+    as they are. The spans of all blocks are merged before a cut, and what was cut is
+    searched for all blocks again, so blocks do not show in the result.
     """
-    current = docs
-    for number, passages in enumerate(blocks(benchmark, window)):
-        if number:
-            current = stage(current, "passages")
-
-        def run(batches: Iterator[pa.RecordBatch], passages=passages) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = raw_column(batch, "text")
-                null = batch.column("text").is_null().to_pylist()
-                cut = [None if gone else passages.without(text, spans) for text, gone, (_, spans, _) in zip(texts, null, passages.search(texts))]
-                place = batch.schema.get_field_index("text")
-                yield batch.set_column(place, batch.schema.field(place), pa.array(cut, pa.binary()).cast(batch.schema.field(place).type))
-
-        current = current.mapInArrow(run, current.schema)
-    return current
+    current, made = docs, []
+    names = docs.columns
+    place = names.index("text")
+    marked = StructType([*docs.schema.fields, StructField("_spans", _SPANS_TYPE)])
+    first = list(islice(blocks(benchmark, window), 2))
+    if len(first) < 2:
+        for passages in first:
+
+            def run(batches: Iterator[pa.RecordBatch], passages=passages) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    texts = raw_column(batch, "text")
+                    null = batch.column("text").is_null().to_pylist()
+                    cut = [None if gone else passages.without(text, spans) for text, gone, (_, spans, _) in zip(texts, null, passages.search(texts))]
+                    yield batch.set_column(place, batch.schema.field(place), pa.array(cut, pa.binary()).cast(batch.schema.field(place).type))
+
+            current = current.mapInArrow(run, docs.schema)
+        return current
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left = [_cut(text, spans) for text, spans in zip(raw_column(batch, "text"), batch.column("_spans").to_pylist())]
+            out = batch.set_column(place, batch.schema.field(place), pa.array(left, pa.binary()).cast(batch.schema.field(place).type))
+            yield out.select(names)
+
+    del first
+    while True:
+        found = current.withColumn("_spans", F.array().cast(_SPANS_TYPE))
+        for passages in blocks(benchmark, window):
+
+            def search(batches: Iterator[pa.RecordBatch], passages=passages) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    old = batch.column("_spans").to_pylist()
+                    spans = [_merged(s, new) for s, (_, new, _) in zip(old, passages.search(raw_column(batch, "text")))]
+                    yield batch.set_column(batch.num_columns - 1, "_spans", pa.array(spans, _SPANS))
+
+            found = stage(found.mapInArrow(search, marked), "passages")
+        made.append(found.where("size(_spans) = 0").drop("_spans"))
+        hit = found.where("size(_spans) > 0")
+        if hit.isEmpty():
+            return reduce(DataFrame.unionByName, made)
+        current = stage(hit.mapInArrow(cut, docs.schema), "cut")

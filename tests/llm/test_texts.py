@@ -181,6 +181,18 @@ def test_removed_passages_leave_none(spark):
     assert counted == {i: len(words_of(t)) for i, t in LEAKY}
 
 
+def test_removed_passages_do_not_depend_on_blocks(spark, monkeypatch):
+    items = [(1, " ".join(f"r{i}" for i in range(12))), (2, " ".join(f"r{i}" for i in range(7, 20))), (3, "end of it all")]
+    every = " ".join(f"r{i}" for i in range(20))
+    texts = [*LEAKY, (20, f"before {every} after"), (21, f"end of {every} it all"), (22, "end of " + " ".join(f"q{i}" for i in range(10)) + " it end of it all all")]
+    benchmark = spark.createDataFrame([*ITEMS[:1], *items], "item_id long, text string")
+    docs = docs_of(spark, [r for r in texts if r[0] != 7])
+    whole = sorted(decontaminate.remove_passages(docs, benchmark).collect(), key=str)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1)
+    assert sorted(decontaminate.remove_passages(docs, benchmark).collect(), key=str) == whole
+    assert {r.text.split()[0] + r.text.split()[-1] for r in whole if r.doc_id == 20} == {"beforeafter"}
+
+
 def rule_texts():
     draw = random.Random(4)
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "a b"), (5, "the " * 200), (6, "# " * 40), (7, LONG), (8, "x y\nx y\n\n x y\nthe end of it"), (None, "the of and")]
