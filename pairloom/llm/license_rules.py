@@ -1,6 +1,6 @@
 """Signature rules for licenses, over text reduced to lower-case words and single spaces.
 
-A rule is a pattern of words with a keyword that every text it matches contains. Names of
+A rule is a pattern of words with keywords, one of which starts a word in every text it matches. Names of
 licenses are written by hand and combined with the ways in which texts refer to them;
 signatures of license texts are written by hand throughout.
 """
@@ -14,7 +14,8 @@ class Rule(NamedTuple):
     label: str
     #: Java pattern of words; it is matched from one space to the next.
     pattern: str
-    #: Words that the text must contain for the pattern to be tried.
+    #: Words of which the text must contain one, from the start of a word, for the pattern
+    #: to be tried; parted by "|".
     keyword: str
     #: Of detections where one contains the other, the higher priority stays.
     priority: int
@@ -31,9 +32,9 @@ NAMES = (
     ("x11", "x11", r"(?:the )?x11"),
     ("expat", "expat", r"(?:the )?expat"),
     ("isc", "isc", r"(?:the )?isc"),
-    ("0bsd", "bsd", r"(?:0bsd|(?:bsd )?zero clause(?: bsd)?|0 clause bsd)"),
+    ("0bsd", "0bsd|zero clause|0 clause bsd", r"(?:0bsd|(?:bsd )?zero clause(?: bsd)?|0 clause bsd)"),
     ("bsd-1-clause", "bsd", r"(?:1 clause bsd|bsd 1 clause)"),
-    ("bsd-2-clause", "bsd", r"(?:(?:2|two) clause(?: simplified)? bsd|bsd (?:2|two) clause|simplified bsd|freebsd)"),
+    ("bsd-2-clause", "bsd|freebsd", r"(?:(?:2|two) clause(?: simplified)? bsd|bsd (?:2|two) clause|simplified bsd|freebsd)"),
     ("bsd-3-clause", "bsd", r"(?:(?:3|three) clause bsd|bsd (?:3|three) clause|(?:new|revised|modified) bsd)"),
     ("bsd-4-clause", "bsd", r"(?:(?:4|four) clause bsd|bsd (?:4|four) clause|original bsd)"),
     ("bsd", "bsd", r"(?:the )?bsd(?: style)?"),
@@ -97,7 +98,7 @@ NAMES = (
     ("upl-1.0", "universal permissive", r"universal permissive"),
     ("blueoak-1.0.0", "blue oak", r"blue oak model"),
     ("cecill-2.1", "cecill", r"cecill(?: license)?(?: version)? 2 1"),
-    ("openrail", "openrail", r"(?:creativeml |bigscience )?open ?rail(?: m)?"),
+    ("openrail", "openrail|open rail", r"(?:creativeml |bigscience )?open ?rail(?: m)?"),
 )
 
 #: Creative Commons terms as they stand in names and in identifiers.

@@ -82,14 +82,14 @@ def _base(reduced: Column, n_words: Column) -> Column:
 
 
 def _keywords(chosen: Sequence[Rule]) -> list[str]:
-    return sorted({f" {r.keyword}" for r in chosen})
+    return sorted({f" {k}" for r in chosen for k in r.keyword.split("|")})
 
 
 def _table(chosen: Sequence[Rule]) -> Column:
     place = {k: i for i, k in enumerate(_keywords(chosen))}
-    rows = [[r.label, f" (?:{r.pattern})(?= )", place[f" {r.keyword}"], r.priority, r.confidence] for r in chosen]
+    rows = [[r.label, f" (?:{r.pattern})(?= )", [place[f" {k}"] for k in r.keyword.split("|")], r.priority, r.confidence] for r in chosen]
     names = ("label", "pattern", "keyword", "priority", "confidence")
-    return F.from_json(F.lit(json.dumps([dict(zip(names, row)) for row in rows])), "array<struct<label:string,pattern:string,keyword:int,priority:int,confidence:double>>")
+    return F.from_json(F.lit(json.dumps([dict(zip(names, row)) for row in rows])), "array<struct<label:string,pattern:string,keyword:array<int>,priority:int,confidence:double>>")
 
 
 def scan(docs: DataFrame, chosen: Sequence[Rule] | None = None) -> DataFrame:
@@ -98,7 +98,7 @@ def scan(docs: DataFrame, chosen: Sequence[Rule] | None = None) -> DataFrame:
     ``base`` holds the number and the first and last word of each base phrase;
     ``detections`` the spans of words (from 0, end excluded) that are left after
     suppression. A null text has no words. Nothing is shuffled and every rule sees the
-    whole text; a rule's pattern is tried only where its keyword stands.
+    whole text; a rule's pattern is tried only where one of its keywords stands.
     """
     chosen = list(rules() if chosen is None else chosen)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -108,7 +108,7 @@ def scan(docs: DataFrame, chosen: Sequence[Rule] | None = None) -> DataFrame:
 
     def found(reduced: Column) -> Column:
         present = F.transform(keywords, lambda k: F.contains(reduced, k))
-        tried = let(present, lambda p: F.filter(table, lambda r: F.get(p, r["keyword"])))
+        tried = let(present, lambda p: F.filter(table, lambda r: F.exists(r["keyword"], lambda k: F.get(p, k))))
         spans = F.flatten(F.transform(tried, lambda r: _matches(reduced, r)))
         n_words = _spaces(reduced) - 1
         return F.struct(_base(reduced, n_words).alias("base"), let(spans, lambda d: _unsuppressed(d, [r.priority for r in chosen])).alias("detections"))

@@ -78,6 +78,23 @@ def test_license_scan_matches_brute_force(spark):
     assert license_scan.summary(license_scan.scan(docs_of(spark, []))).count() == 0
 
 
+def ungated_labels(text):
+    reduced = " " + " ".join(words_of(text)) + " "
+    return {r.label for r in rules() if re.search(f" (?:{r.pattern})(?= )", reduced)}
+
+
+def test_license_keywords_lose_no_rule(spark):
+    names = ["0BSD", "FreeBSD", "Zero-Clause", "0-clause BSD", "Open RAIL", "OpenRAIL-M", "simplified BSD", "CC0", "Creative Commons Zero", "CC BY-SA 4.0", "GNU GPL v1"]
+    texts = [f"SPDX-License-Identifier: {n}" for n in names] + [f"{n} License" for n in names] + [f"released under the {n} license" for n in names]
+    assert "0bsd" in ungated_labels(texts[0]) and "openrail" in ungated_labels(texts[4])
+    got = {r.doc_id: {d.label for d in r.detections} for r in license_scan.scan(docs_of(spark, list(enumerate(texts)))).collect()}
+    for i, text in enumerate(texts):
+        every, reduced = ungated_labels(text), " " + " ".join(words_of(text)) + " "
+        assert got[i] <= every and bool(got[i]) == bool(every), text
+        for r in rules():
+            assert not re.search(f" (?:{r.pattern})(?= )", reduced) or any(f" {k}" in reduced for k in r.keyword.split("|")), (r, text)
+
+
 def test_license_priority_suppresses_what_it_contains(spark):
     row = license_scan.scan(docs_of(spark, [(1, "licensed under the Apache License, Version 2.0")])).first()
     assert [d.label for d in row.detections] == ["apache-2.0"]
