@@ -2,7 +2,8 @@
 
 Each block with text of its own passes points for its length and its commas to the
 elements around it, discounted by the share of its text that stands in links and by the
-distance. The best container is the article; its siblings with enough points belong to it.
+distance. The best container is the article; everything beside it is judged by its points,
+its text and its links, bare headings, paragraphs, lists and tables included.
 """
 
 from __future__ import annotations
@@ -50,6 +51,10 @@ _ATTRIBUTE = re.compile(r"([^\s=/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))"
 #: Points of a container by its element, and parts of the best score that a sibling needs.
 BONUS = {"article": 25.0, "main": 20.0, "section": 3.0, "div": 3.0, "td": 1.0, "blockquote": 1.0}
 SIBLING_SHARE = 0.2
+#: Without these points a sibling needs less than this share of its text in links and, unless
+#: it is a heading, paragraph, list or table itself, so many characters.
+LINKED_SHARE, LEAST_TEXT = 0.25, 80
+BARE = frozenset("h1 h2 h3 h4 h5 h6 hgroup header p pre ul ol dl table blockquote figure".split())
 #: What reaches the parent, the one above, and so on, of a block's points.
 PASSED = (1.0, 0.5, 0.25)
 
@@ -182,6 +187,15 @@ def blocks_of(page: str) -> list[Block]:
     return found
 
 
+def _belongs(child: Element, length: int, linked: int, best: Element) -> bool:
+    """Whether what stands beside the best container is part of the article."""
+    if child.skipped:
+        return False
+    if child.name == "h1" or child.score >= max(10.0, SIBLING_SHARE * best.score):
+        return True
+    return linked < LINKED_SHARE * length and (child.name in BARE or length >= LEAST_TEXT)
+
+
 def main_text(page: str) -> str:
     """The blocks of the best container and its worthy siblings, joined by a line break."""
     found = blocks_of(page)
@@ -205,10 +219,26 @@ def main_text(page: str) -> str:
     if not scored:
         return ""
     best = max(scored.values(), key=lambda e: (e.score, -e.order))
-    least = max(10.0, SIBLING_SHARE * best.score)
     chosen = {best.order}
-    if best.parent is not None and best.name not in ("body", "html"):
-        chosen |= {e.order for e in scored.values() if e.parent is best.parent and e.score >= least and not e.skipped}
+    sizes: dict[int, list[int]] = {}
+    for block in found:
+        above = block.owner
+        while above is not None:
+            size = sizes.setdefault(above.order, [0, 0])
+            size[0] += len(block.text)
+            size[1] += min(block.linked, len(block.text))
+            above = above.parent
+    if best.name not in ("body", "html"):
+        top = best  # through wrappers that hold nothing else
+        while top.parent is not None and top.parent.name not in ("#root", "body", "html") and sizes[top.parent.order] == sizes[top.order]:
+            top = top.parent
+        around = top.parent
+        for block in found if around is not None else ():
+            child = block.owner
+            while child is not None and child.parent is not around:
+                child = child.parent
+            if child is not None and _belongs(child, *sizes[child.order], best):
+                chosen.add(child.order)
     kept = []
     for block in found:
         above = block.owner

@@ -126,6 +126,19 @@ def test_html_links_discount_a_container():
     assert html_extract.main_text(page) == "a paragraph, with words, that are no links"
 
 
+@pytest.mark.parametrize("wrapper", ["article", "div", "main", "section"])
+@pytest.mark.parametrize("paragraphs", [1, 3, 40])
+def test_html_keeps_what_stands_beside_a_long_body(wrapper, paragraphs):
+    body = ["body text, of some length, with commas, number %d" % n for n in range(paragraphs)]
+    inner = "".join(f"<p>{t}</p>" for t in body)
+    lead, intro = "The lead of it.", "A short introduction in a section of its own, " + "which is long enough to be text. " * 2
+    links = "<ul>" + "".join(f"<li><a href=x>Other page {n}</a>" for n in range(5)) + "</ul>"
+    page = f"<{wrapper}><h1>Head</h1><p>{lead}</p><section><p>{intro}</p></section><div><div>{inner}</div></div><pre>code</pre><table><tr><td>cell</table>{links}</{wrapper}>"
+    got = html_extract.main_text(page).split("\n")
+    expected = ["Head", lead, intro.strip(), *body, "code", "cell"]
+    assert [x for x in got if not x.startswith("Other page")] == expected
+
+
 def test_fm_index_finds_every_place():
     draw = np.random.default_rng(2)
     for size, symbols in ((1, 2), (7, 3), (300, 4), (2_000, 50)):
