@@ -66,10 +66,10 @@ def raw_column(batch: pa.RecordBatch, name: str) -> list[bytes]:
 
 def map_texts(docs: DataFrame, function: Callable[[list[bytes]], dict[str, tuple[pa.DataType, list]]], added: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One output row per input row: the key and the columns that ``function`` makes of the
-    raw texts of a batch. ``added`` is their schema; only the two columns are read.
+    raw texts of a batch. ``added`` is their schema, parts apart by ", "; only the two columns are read.
     """
     source = docs.select(F.col(key), F.col(text).cast("string").alias(text))
-    names = [part.split()[0] for part in added.split(",")]
+    names = [part.split()[0] for part in added.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

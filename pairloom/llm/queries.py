@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out
-from . import decontaminate, html_extract, language_model, license_scan, line_dedup, mixing, quality_classifier, quality_rules, simhash, toxicity
+from . import bisectors, conversation_repair, decontaminate, html_extract, language_model, license_scan, line_dedup, mixing, personal_data, quality_classifier, quality_rules, simhash, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -223,3 +223,51 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = held_out(F.col("doc_id"), 7, 2)
     scored = language_model.score(_table(spark, sf_dir, "documents"), ~held)
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def _bisector_sql(rounds: int = bisectors.ROUNDS) -> str:
+    """The rounds one after the other; vectors as lists, distances as whole numbers."""
+    nearest = """
+  SELECT vec_id, v, arg_min(number, (distance, number)) AS cluster, min(distance) AS distance FROM (
+    SELECT x.rid, x.vec_id, x.v, c.number,
+           CAST(list_sum(list_transform(list_zip(x.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS distance
+    FROM kept x, c{0} c) GROUP BY rid, vec_id, v"""
+    parts = [
+        f"""kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id,
+         list_transform(embedding, lambda x: CAST(floor({bisectors.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {bisectors.DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {bisectors.DIMENSIONS})""",
+        f"""c0 AS MATERIALIZED (SELECT number, v FROM (SELECT row_number() OVER (
+         ORDER BY sha256('{bisectors.SEED}:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS number, v FROM kept) WHERE number < {bisectors.CENTROIDS})""",
+    ]
+    for i in range(rounds):
+        parts.append(f"a{i} AS MATERIALIZED ({nearest.format(i)})")
+        parts.append(f"""m{i} AS (SELECT cluster, list(m ORDER BY axis) AS v FROM (
+  SELECT cluster, axis, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS m FROM (
+    SELECT cluster, axis, sum(part) AS s, count(*) AS n FROM (
+      SELECT cluster, unnest(v) AS part, generate_subscripts(v, 1) AS axis FROM a{i}) GROUP BY cluster, axis)) GROUP BY cluster)""")
+        parts.append(f"c{i + 1} AS MATERIALIZED (SELECT c.number, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m ON c.number = m.cluster)")
+    parts.append(f"last AS MATERIALIZED ({nearest.format(rounds)})")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT l.vec_id, CAST(l.cluster AS INTEGER) AS cluster, l.distance, CAST(sum(l.distance) OVER (PARTITION BY l.cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(l.distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM last l JOIN c{rounds} c ON l.cluster = c.number"""
+
+
+@_query("op13_centroid_clustering", _bisector_sql())
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clustered = bisectors.cluster(_table(spark, sf_dir, "embeddings"))
+    return clustered.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", bisectors.digest().alias("centroid_sha256"))
+
+
+@_query("op12_conversation_repair")
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
+@_query("op11_personal_data")
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    of = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    counts = [of(kind).alias(f"n_{kind}") for kind in personal_data.KINDS]
+    return found.select("doc_id", *counts, F.sha2(personal_data.written_out(base), 256).alias("base_sha256"), personal_data.written_out(F.col("spans")).alias("spans"))
