@@ -179,7 +179,7 @@ def test_seating_follows_the_restaurant_process():
 
 
 def test_pipeline_stages_against_brute_force(spark):
-    from test_near_copies import plain_classes, plain_fingerprint, plain_line_dedup
+    from test_near_copies import plain_line_dedup, plain_near_copies
     from test_texts import plain_passages, words_of
 
     folder = "/root/testdata/sf0.001"
@@ -204,12 +204,8 @@ def test_pipeline_stages_against_brute_force(spark):
         elif name == "line_dedup":
             rows = [(i, kept) for i, kept, _, dropped in plain_line_dedup(rows) if not dropped or kept.strip(" ")]
         elif name == "simhash_near_dedup":
-            prints = {i: plain_fingerprint(t) for i, t in rows}
-            roots = plain_classes(list(prints.values()))
-            least = {}
-            for i, p in prints.items():
-                least[roots[p]] = min(i, least.get(roots[p], i))
-            rows = [r for r in rows if least[roots[prints[r[0]]]] == r[0]]
+            roots = plain_near_copies(rows)
+            rows = [r for r in rows if roots[r[0]] == r[0]]
         else:
             assert {i for i, _, _ in got} <= {i for i, _ in rows}
             for i, text in rows:
