@@ -46,6 +46,14 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``docs`` has it in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` as a table in the shared folder, and its path."""
     path = fresh_path(df.sparkSession, name)

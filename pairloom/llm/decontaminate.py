@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..session import stage
-from .common import raw_column, words
+from .common import raw_column, unused, words
 from .fm_index import FMIndex
 
 WINDOW_WORDS = 10
@@ -189,9 +189,9 @@ def remove_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_
     searched for all blocks again, so blocks do not show in the result.
     """
     current, made = docs, []
-    names = docs.columns
+    names, marks = docs.columns, unused(docs, "_spans")
     place = names.index("text")
-    marked = StructType([*docs.schema.fields, StructField("_spans", _SPANS_TYPE)])
+    marked = StructType([*docs.schema.fields, StructField(marks, _SPANS_TYPE)])
     first = list(islice(blocks(benchmark, window), 2))
     if len(first) < 2:
         for passages in first:
@@ -208,24 +208,24 @@ def remove_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left = [_cut(text, spans) for text, spans in zip(raw_column(batch, "text"), batch.column("_spans").to_pylist())]
+            left = [_cut(text, spans) for text, spans in zip(raw_column(batch, "text"), batch.column(marks).to_pylist())]
             out = batch.set_column(place, batch.schema.field(place), pa.array(left, pa.binary()).cast(batch.schema.field(place).type))
             yield out.select(names)
 
     del first
     while True:
-        found = current.withColumn("_spans", F.array().cast(_SPANS_TYPE))
+        found = current.withColumn(marks, F.array().cast(_SPANS_TYPE))
         for passages in blocks(benchmark, window):
 
             def search(batches: Iterator[pa.RecordBatch], passages=passages) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
-                    old = batch.column("_spans").to_pylist()
+                    old = batch.column(marks).to_pylist()
                     spans = [_merged(s, new) for s, (_, new, _) in zip(old, passages.search(raw_column(batch, "text")))]
-                    yield batch.set_column(batch.num_columns - 1, "_spans", pa.array(spans, _SPANS))
+                    yield batch.set_column(batch.num_columns - 1, marks, pa.array(spans, _SPANS))
 
             found = stage(found.mapInArrow(search, marked), "passages")
-        made.append(found.where("size(_spans) = 0").drop("_spans"))
-        hit = found.where("size(_spans) > 0")
+        made.append(found.where(F.size(marks) == 0).drop(marks))
+        hit = found.where(F.size(marks) > 0)
         if hit.isEmpty():
             return reduce(DataFrame.unionByName, made)
         current = stage(hit.mapInArrow(cut, docs.schema), "cut")

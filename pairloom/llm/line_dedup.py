@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import fresh_path
-from .common import raw_column
+from .common import raw_column, unused
 from .cuckoo import CuckooFilter, build
 
 MIN_CHARS = 20
@@ -210,19 +210,24 @@ def dropped_lines(state: LineState) -> DataFrame:
     return hits.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("dropped"))
 
 
-def keep_lines(docs: DataFrame, state: LineState) -> DataFrame:
+ADDED = ("kept", "n_lines", "n_dropped")
+
+
+def keep_lines(docs: DataFrame, state: LineState, added: tuple[str, str, str] = ADDED) -> DataFrame:
     """``docs`` with all columns and ``kept string, n_lines long, n_dropped long`` added, one
-    row per row.
+    row per row, under the names ``added``; columns that have these names already go.
 
     A null text is one empty line; a row without an id keeps all its lines. Equal ids stand
     for one document, whose rows should be equal. An empty table gives none.
     """
-    joined = docs.join(dropped_lines(state).withColumnRenamed("dropped", "_dropped"), "doc_id", "left").select(*docs.columns, "_dropped")
+    gone_name = unused(docs, "_dropped")
+    own = [c for c in docs.columns if c.lower() not in {a.lower() for a in added}]
+    joined = docs.join(dropped_lines(state).withColumnRenamed("dropped", gone_name), "doc_id", "left").select(*own, gone_name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, n_lines, n_dropped = [], [], []
-            for text, gone in zip(raw_column(batch, "text"), batch.column("_dropped").to_pylist()):
+            for text, gone in zip(raw_column(batch, "text"), batch.column(gone_name).to_pylist()):
                 lines = text.split(b"\n")
                 n_lines.append(len(lines))
                 if gone:
@@ -233,12 +238,13 @@ def keep_lines(docs: DataFrame, state: LineState) -> DataFrame:
                 else:
                     n_dropped.append(0)
                 kept.append(text)
-            added = [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
-            names = [n for n in batch.schema.names if n != "_dropped"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *added], names=[*names, "kept", "n_lines", "n_dropped"])
+            made = [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in own], *made], names=[*own, *added])
 
-    made = T.StructType(list(docs.schema)).add("kept", "string").add("n_lines", "long").add("n_dropped", "long")
-    return joined.mapInArrow(run, made)
+    kinds = T.StructType([docs.schema[c] for c in own])
+    for name, kind in zip(added, ("string", "long", "long")):
+        kinds = kinds.add(name, kind)
+    return joined.mapInArrow(run, kinds)
 
 
 def deduplicate(docs: DataFrame, state: LineState) -> DataFrame:

@@ -217,3 +217,21 @@ def test_pipeline_stages_against_brute_force(spark):
                     assert len(words_of(kept[0] if kept else "")) <= n - len(hit) and not plain_passages(kept[0] if kept else "", items)[1]
             rows = [(i, t) for i, t, _ in got]
         assert got == sorted((i, t, len(t)) for i, t in rows), name
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Also those that helpers use, with nulls, repeated rows and an empty table."""
+    folder = "/root/testdata/sf0.001"
+    odd = ["kept", "n_lines", "n_dropped", "_dropped", "_spans", "_text_before", "name", "key", "n", "root", "score", "label", "prefix"]
+    line = "the same line in every one of these texts"
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").first().text
+    texts = [f"{line}\nfirst", f"{line}\nsecond", f"{line}\nthird words {item}", None, ""]
+    rows = [(i, t, "en", "s", None if t is None else len(t), *[f"{c}{i}" for c in odd]) for i, t in enumerate(texts)] + [(None, "no id", "en", "s", 5, *odd)]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in odd))
+    for name, function in corpus_pipeline.STAGES[1:4]:
+        assert function(spark, docs.limit(0), folder).count() == 0
+        out = function(spark, docs, folder)
+        assert out.dtypes == docs.dtypes
+        got = out.collect()
+        assert {r.doc_id for r in got} >= {1, 2, None}, name
+        assert all(r[c] == (f"{c}{r.doc_id}" if r.doc_id is not None else c) for r in got for c in odd)
