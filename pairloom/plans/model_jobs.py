@@ -11,7 +11,7 @@ from ..operators import metrics as M
 from ..operators import model as L
 from ..operators import points as PT
 from ..operators import stress as T
-from ..session import stage
+from ..session import fresh_path, stage
 from . import views as V
 from .feature_jobs import ALL_SQL, DONOR, EXTENT_SQL, donors, posed, shuffled, wide_features
 from .metric_jobs import REPLICATES, draws_sql, replicate_sql
@@ -78,9 +78,11 @@ def regularization_grid(spark, folder):
 
 @query("M3_lock_before_test")
 def lock_before_test(spark, folder):
-    table = simple_features(spark, folder)
-    held = L.lock({s: L.fit(table, m.features, 1.0) for s, m in LOCKED.items()}, table)
-    scored = held.score(table.where("split = 'test'"), ["pair_id", "label"])
+    """Fit and lock on a store whose test split is sealed until the lock exists."""
+    store = L.SealedSplits.store(simple_features(spark, folder), fresh_path(spark, "sealed"))
+    models, _ = L.fit_grid(store.fitting(spark), {s: m.features for s, m in LOCKED.items()}, [1.0])
+    held = L.lock({s: m for (s, _), m in models.items()}, store.fitting(spark))
+    scored = store.scored_test(spark, held, ["pair_id", "label"])
     return scored.select("pair_id", "system", F.round("score", 6).alias("score"), "f1_match", "recall_match")
 
 
@@ -118,6 +120,40 @@ def system_sweep(spark, folder):
     return out.select("split", "system", (F.col("positives") * F.col("negatives")).alias("comparisons"), F.round("auroc", 5).alias("auroc"))
 
 
+def fitting_store(spark, folder):
+    """All features of all pairs, stored by split."""
+    return L.SealedSplits.store(wide_features(spark, folder, with_shuffled=True), fresh_path(spark, "sealed"))
+
+
+@query("M5_fitted_systems")
+def fitted_systems(spark, folder):
+    """All eight systems over the whole grid, chosen and locked on dev, then scored on test:
+    one row per system with its C and its metrics at the locked threshold."""
+    store = fitting_store(spark, folder)
+    held = L.sweep(store.fitting(spark), X.SYSTEMS)
+    scored = stage(store.scored_test(spark, held, ["pair_id", "label"]), "scored")
+    ranks = M.ranking_metrics(M.score_ladder(scored, ["system"]), ["system"]).select("system", F.round("auroc", 6).alias("auroc"))
+    at = scored.groupBy("system").agg(
+        F.count(F.lit(1)).alias("pairs"),
+        F.round(F.count_if(F.col("recall_match") & (F.col("label") == 1)) / F.sum("label"), 6).alias("recall"),
+        F.round(F.count_if(F.col("recall_match") & (F.col("label") == 0)) / F.count_if(F.col("label") == 0), 6).alias("false_match_rate"),
+    )
+    chosen = spark.createDataFrame([(s, m.regularization) for s, m in held.models.items()], "system string, regularization double")
+    return ranks.join(at, "system").join(F.broadcast(chosen), "system")  # a row per system
+
+
+@query("M5_fitted_gradients", f"""{ALL_SQL} SELECT system, c AS regularization, 0.0 AS gradient, (SELECT count(*) FROM pairs WHERE split = 'train') AS rows
+FROM (VALUES {', '.join(f"('{s}')" for s in X.SYSTEMS)}) s(system), (VALUES {', '.join(f"({c}::DOUBLE)" for c in L.GRID)}) g(c)""")
+def fitted_gradients(spark, folder):
+    """The gradient of every system at every C, computed anew from the weights: zero at an optimum."""
+    table = stage(wide_features(spark, folder, with_shuffled=True).where("split = 'train'"), "features")
+    models, _ = L.fit_grid(table, X.SYSTEMS)
+    slopes = L.gradients(table, {f"{i}": m for i, m in enumerate(models.values())})
+    rows = [(s, float(c), float(abs(round(slopes[f"{i}"], 6)))) for i, (s, c) in enumerate(models)]
+    trained = table.agg(F.count(F.lit(1)))
+    return spark.createDataFrame(rows, "system string, regularization double, gradient double").withColumn("rows", trained.scalar())
+
+
 @query("M8_reproduction_check", f"""{SIMPLE_SQL} SELECT system, count(*) FILTER (split <> 'train') AS compared, count(*) FILTER (split = 'train') AS unmatched, round(max(abs(score - round(score, 4))) FILTER (split <> 'train'), 9) AS largest_difference FROM ls GROUP BY 1""")
 def reproduction_check(spark, folder):
     """Against the stored scores of an earlier run, which kept four digits and no train rows."""

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +98,48 @@ def test_every_query_is_named_after_an_operator():
     from pairloom.plans.catalog import ORACLES, QUERIES
 
     assert set(ORACLES) <= set(QUERIES) and len(QUERIES) > 150
+
+
+def plain_fit(x, y, c):
+    """Newton steps on the whole table in memory."""
+    x = (x - x.mean(axis=0)) / np.where(x.std(axis=0) == 0, 1, x.std(axis=0))
+    x = np.hstack([x, np.ones((len(x), 1))])
+    w = np.zeros(x.shape[1])
+    pull = np.diag([1 / c] * (x.shape[1] - 1) + [0])
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-x @ w))
+        w = w - 0.5 * np.linalg.solve((x.T * (p * (1 - p))) @ x + pull + 1e-12 * np.eye(len(w)), x.T @ (p - y) + pull @ w)
+    return w
+
+
+def test_many_fits_share_their_passes(spark):
+    df = table(spark).withColumn("near", F.col("x") + 0.01 * F.col("y"))
+    systems = {"one": ["x"], "two": ["y", "x"], "all": ["x", "y", "near", "flat"]}
+    models, passes = L.fit_grid(df, systems)
+    assert passes <= 15 and len(models) == 15
+    rows = df.where("split = 'train'").toPandas()
+    for (system, c), model in models.items():
+        expected = plain_fit(rows[systems[system]].to_numpy(), rows["label"].to_numpy(), c)
+        assert np.allclose([*model.coefficients, model.intercept], expected, atol=1e-6), (system, c)
+        assert max(map(abs, L.gradient(df, model))) < 1e-6
+    again = L.gradients(df, {f"{i}": m for i, m in enumerate(models.values())})
+    assert max(again.values()) < 1e-6
+
+
+def test_fit_needs_both_classes(spark):
+    with pytest.raises(ValueError):
+        L.fit(table(spark).withColumn("label", F.lit(1)), ["x"], 1.0)
+
+
+def test_test_split_is_sealed_until_a_lock_exists(spark, tmp_path):
+    store = L.SealedSplits.store(table(spark), str(tmp_path / "store"))
+    fitting = store.fitting(spark)
+    assert {r[0] for r in fitting.select("split").distinct().collect()} == {"train", "dev"}
+    whole = spark.read.parquet(store.path)
+    for attempt in (lambda: L.fit(whole, ["x"], 1.0), lambda: L.lock({}, whole), lambda: L.sweep(whole.where("split != 'test'"), {"m": ["x"]})):
+        with pytest.raises(PermissionError):
+            attempt()
+    with pytest.raises(PermissionError):
+        store.scored_test(spark, L.fit(fitting, ["x"], 1.0), ["pair_id"])
+    held = L.sweep(fitting, {"m": ["x"]}, grid=(1.0,))
+    assert store.scored_test(spark, held, ["pair_id"]).count() == 180
