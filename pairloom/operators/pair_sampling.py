@@ -47,90 +47,102 @@ def capped(df: DataFrame, prior: Column, cap: int, keys: Sequence[str], order: S
     )
 
 
-def _cuts(pool: DataFrame, levels: Sequence[str], quota: Mapping[str, int]) -> dict[str, tuple]:
-    """Per split, the last level of the sample and the largest draw it takes there.
-
-    Only counts per level (at most the cap, per split) and one draw per split
-    reach the driver.
-    """
-    counts = pool.groupBy("split", *levels).agg(F.count(F.lit(1)).alias("n")).orderBy("split", *levels).collect()
-    cuts: dict[str, tuple] = {}
-    for split, wanted in quota.items():
-        taken = 0
-        for row in (r for r in counts if r["split"] == split):
-            level = tuple(row[name] for name in levels)
-            if taken + row["n"] >= wanted:
-                cuts[split] = (level, wanted - taken)
-                break
-            taken += row["n"]
-        else:
-            cuts[split] = (None, 0)
-    at_cut = F.lit(False)
-    for split, (level, _) in cuts.items():
-        if level is not None:
-            at_cut = at_cut | ((F.col("split") == split) & _equal(levels, level))
-    order = Window.partitionBy("split").orderBy("_draw", "cluster_id")
-    places = {s: take for s, (_, take) in cuts.items()}
-    edge = (
-        pool.where(at_cut).select("split", "_draw", "cluster_id")
-        .withColumn("_rn", F.row_number().over(order))
-        .where((F.col("_rn") <= max(places.values())) & (F.col("_rn") <= _literal_targets(places, "split")))
-        .groupBy("split").agg(F.max(F.struct("_draw", "cluster_id")).alias("e"))
-    )
-    edges = {r["split"]: (r["e"]["_draw"], r["e"]["cluster_id"]) for r in edge.collect()}
-    return {s: (level, edges.get(s)) for s, (level, _) in cuts.items()}
+def _literal(values: Mapping[str, object], key: str, kind: str) -> Column:
+    """``values[key]`` as a column of literals; null for other keys."""
+    return F.coalesce(*[F.when(F.col(key) == k, F.lit(v)) for k, v in values.items()], F.lit(None)).cast(kind)
 
 
-def _equal(names: Sequence[str], values: Sequence) -> Column:
-    out = F.lit(True)
-    for name, value in zip(names, values):
-        out = out & (F.col(name) == value)
-    return out
+def _numbered(candidates: DataFrame, keys: Sequence[str], item: Column, cap: int) -> DataFrame:
+    """``_rn``: the place of each row in its cluster's queue, in hash order; rows past the cap
+    can never be taken and go before the shuffle."""
+    queue = Window.partitionBy("split", "cluster_id", *keys).orderBy("_item", "pair_id")
+    return materialize(candidates.withColumn("_item", item).withColumn("_rn", F.row_number().over(queue)).where(F.col("_rn") <= cap).drop("_item"))
 
 
-def first_by_level(pool: DataFrame, levels: Sequence[str], quota: Mapping[str, int]) -> DataFrame:
-    """The first ``quota[split]`` rows of each split ordered by (levels, draw, cluster).
+def _edges(at_cut: DataFrame, take: Mapping[str, int]) -> dict[str, tuple]:
+    """Per split, the ``take``-th smallest (draw, cluster) of the rows."""
+    order = Window.partitionBy("split").orderBy("_draw", "cluster_id")
+    most = max(take.values())
+    placed = at_cut.select("split", "_draw", "cluster_id", F.row_number().over(order).alias("_place")).where(F.col("_place") <= most)
+    rows = placed.where(F.col("_place") == _literal(take, "split", "int")).collect()  # a row per split
+    return {r["split"]: (r["_draw"], r["cluster_id"]) for r in rows}
 
-    A cluster has one row per level, so once the last level and the last draw of
-    it are known the sample is a filter: no split is ever ordered as a whole.
-    """
-    chosen = F.lit(False)
-    for split, (level, edge) in _cuts(pool, levels, quota).items():
-        here = F.col("split") == split
-        if level is None:
-            chosen = chosen | here
-            continue
-        place = F.struct(*levels)
-        last = F.struct(*[F.lit(v).cast("bigint").alias(n) for n, v in zip(levels, level)])
-        inside = place < last
-        if edge is not None:
-            inside = inside | ((place == last) & (F.struct("_draw", "cluster_id") <= F.struct(F.lit(edge[0]).alias("_draw"), F.lit(edge[1]).alias("cluster_id"))))
-        chosen = chosen | (here & inside)
-    return pool.where(chosen)
-
-
-def _literal_targets(targets: Mapping[str, int], key: str) -> Column:
-    pairs = [F.lit(x) for item in targets.items() for x in item]
-    return F.coalesce(F.create_map(*pairs)[F.col(key)], F.lit(0))
-
-
-def _queued(candidates: DataFrame, keys: Sequence[str], item: Column, draw: Column, cap: int) -> DataFrame:
-    """Number the items of each cluster queue in hash order; those past the cap can never be taken."""
-    queue = Window.partitionBy("split", "cluster_id", *keys).orderBy("_item", "pair_id")
-    numbered = candidates.withColumn("_item", item).withColumn("_rn", F.row_number().over(queue)).where(F.col("_rn") <= cap)
-    return materialize(numbered.drop("_item").withColumn("_draw", draw))
 
+def _up_to(edge: Mapping[str, tuple]) -> Column:
+    """Whether (draw, cluster) is not past its split's edge; splits without an edge take none."""
+    out = F.lit(False)
+    for split, (draw, cluster) in edge.items():
+        out = out | ((F.col("split") == split) & ((F.col("_draw") < draw) | ((F.col("_draw") == draw) & (F.col("cluster_id") <= F.lit(cluster)))))
+    return out
 
-def _with_prior(pool: DataFrame, picked: list[DataFrame]) -> DataFrame:
-    """Add ``_prior``, the picks of the cluster so far; the picks are at most the quotas."""
-    if not picked:
-        return pool.withColumn("_prior", F.lit(0).cast("bigint"))
-    every = reduce(DataFrame.unionByName, [p.select("split", "cluster_id") for p in picked])
-    prior = every.groupBy("split", "cluster_id").agg(F.count(F.lit(1)).alias("_prior"))
-    return pool.join(prior, ["split", "cluster_id"], "left").withColumn("_prior", F.coalesce("_prior", F.lit(0)))
 
+def _fill_levels(queues: DataFrame, length: str, quota: Mapping[str, int], cap: int) -> Column:
+    """How many of ``length`` queued items a step takes from each cluster with ``_prior`` picks.
 
-HELPERS = ("_rn", "_draw", "_prior", "_level", "_total")
+    Item ``rn`` of a cluster has level prior + rn - 1, so a queue covers the levels from
+    prior to its end. Only how many queues start and end at each level reaches the driver,
+    at most twice the cap per split; then one draw per split.
+    """
+    first, end = F.col("_prior"), F.least(F.col("_prior") + F.col(length), F.lit(cap))
+    here = queues.where(F.col("split").isin(list(quota)) & (first < end))
+    steps = F.explode(F.array(F.struct(first.alias("level"), F.lit(1).alias("d")), F.struct(end.alias("level"), F.lit(-1).alias("d"))))
+    rows = here.select("split", steps.alias("_e")).groupBy("split", "_e.level").agg(F.sum("_e.d").alias("d")).collect()
+    levels, rest = {}, {}
+    for split, wanted in quota.items():
+        events = {r["level"]: r["d"] for r in rows if r["split"] == split}
+        width = taken = 0
+        levels[split] = cap
+        for level in range(min(events, default=0), max(events, default=0)):
+            width += events.get(level, 0)
+            if taken + width >= wanted:
+                levels[split], rest[split] = level, wanted - taken
+                break
+            taken += width
+    cut = _literal(levels, "split", "long")
+    edge = _edges(here.where((first <= cut) & (cut < end)), rest) if any(rest.values()) else {}
+    below = F.greatest(F.least(end, cut) - first, F.lit(0))
+    at_cut = ((first <= cut) & (cut < end) & _up_to(edge)).cast("long")
+    return F.when(F.col("split").isin(list(quota)), F.coalesce(below + at_cut, F.lit(0))).otherwise(0)
+
+
+def _fill_totals(queues: DataFrame, length: str, quota: Mapping[str, int], limits: Mapping[str, int]) -> Column:
+    """The same for items ordered by (picks in this step, all picks of the cluster): what
+    reaches the driver is how many queues have each prior and usable length, which the
+    limit bounds both."""
+    usable = F.greatest(F.least(F.col(length), _literal(limits, "split", "long") - F.col("_prior")), F.lit(0))
+    here = queues.where(F.col("split").isin(list(quota)) & (usable > 0)).withColumn("_usable", usable)
+    rows = here.groupBy("split", "_prior", "_usable").agg(F.count(F.lit(1)).alias("n")).collect()
+    levels, priors, rest = {}, {}, {}
+    for split, wanted in quota.items():
+        mine = [(r["_prior"], r["_usable"], r["n"]) for r in rows if r["split"] == split]
+        levels[split], priors[split], left = limits[split], -1, wanted
+        for level, prior in ((lv, p) for lv in range(limits[split]) for p in sorted({m[0] for m in mine})):
+            width = sum(n for p, usable_, n in mine if p == prior and usable_ > level)
+            if width and left <= width:
+                levels[split], priors[split], rest[split] = level, prior, left
+                break
+            left -= width
+    level, prior = _literal(levels, "split", "long"), _literal(priors, "split", "long")
+    open_ = (usable > level) & (F.col("_prior") == prior)
+    edge = _edges(here.where((F.col("_usable") > level) & (F.col("_prior") == prior)), rest) if any(rest.values()) else {}
+    at_cut = ((usable > level) & ((F.col("_prior") < prior) | (open_ & _up_to(edge)))).cast("long")
+    return F.when(F.col("split").isin(list(quota)), F.coalesce(F.least(usable, level) + at_cut, F.lit(0))).otherwise(0)
+
+
+def _taken(numbered: DataFrame, steps: Sequence[tuple], names: Sequence[str], fill, draw) -> DataFrame:
+    """The rows that the steps take one after the other. All steps run on queue lengths, a
+    row per cluster; the numbered rows are read twice, to count and to filter."""
+    is_step = [reduce(Column.__and__, [F.col(n) == v for n, v in zip(names, step)]) for step in steps]
+    lengths = numbered.groupBy("split", "cluster_id").agg(*[F.count_if(here).alias(f"_n{i}") for i, here in enumerate(is_step)])
+    queues = materialize(lengths).withColumn("_prior", F.lit(0).cast("long"))
+    for i, step in enumerate(steps):
+        drawn = queues.withColumn("_draw", draw(*step))
+        taken = drawn.withColumn(f"_t{i}", fill(drawn, f"_n{i}", step)).drop("_draw", f"_n{i}")
+        queues = materialize(taken.withColumn("_prior", F.col("_prior") + F.col(f"_t{i}")))  # a row per cluster
+    takes = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, step)], F.col(f"_t{i}").alias("_take")) for i, step in enumerate(steps)]))
+    wanted = queues.select("split", "cluster_id", takes.alias("_s")).select("split", "cluster_id", "_s.*").where("_take > 0")
+    columns = [c for c in numbered.columns if c != "_rn"]
+    return numbered.join(wanted, ["split", "cluster_id", *names]).where(F.col("_rn") <= F.col("_take")).select(*columns)
 
 
 def balanced_quota_sample(candidates: DataFrame, targets: Mapping[str, Mapping[str, int]], cap: int, seed,
@@ -141,18 +153,16 @@ def balanced_quota_sample(candidates: DataFrame, targets: Mapping[str, Mapping[s
     time from the cluster with the fewest picks is a merge of the clusters'
     queues, so item number rn of a cluster with p earlier picks has level
     p + rn - 1, and the sample is the first ``target`` items by (level, cluster
-    hash). Picks carry over from step to step; only they are materialized.
+    hash). The merge depends on queue lengths and hashes only, so it runs on these.
     """
-    place = [F.col("split"), F.col("kind"), F.col("gap_bin"), F.col("cluster_id")]
-    queued = _queued(candidates, ["kind", "gap_bin"], digest(seed, *place, F.col("pair_id")), digest(seed, *place), cap)
-    picked: list[DataFrame] = []
-    for kind in dict.fromkeys(k for per in targets.values() for k in per):
-        for gap in GAP_BINS:
-            quota = {s: even_quotas(per[kind])[gap] for s, per in targets.items() if kind in per}
-            step = queued.where((F.col("kind") == kind) & (F.col("gap_bin") == gap) & F.col("split").isin(list(quota)))
-            pool = _with_prior(step, picked).withColumn("_level", F.col("_prior") + F.col("_rn") - 1).where(F.col("_level") < cap)
-            picked.append(materialize(first_by_level(pool, ["_level"], quota).drop(*HELPERS)))
-    sample = reduce(DataFrame.unionByName, picked)
+    place = [F.col(c) for c in ("split", "kind", "gap_bin", "cluster_id")]
+    numbered = _numbered(candidates, ["kind", "gap_bin"], digest(seed, *place, F.col("pair_id")), cap)
+    kinds = dict.fromkeys(k for per in targets.values() for k in per)
+    quotas = {(kind, gap): {s: even_quotas(per[kind])[gap] for s, per in targets.items() if kind in per} for kind in kinds for gap in GAP_BINS}
+    sample = _taken(
+        numbered, list(quotas), ["kind", "gap_bin"], lambda queues, length, step: _fill_levels(queues, length, quotas[step], cap),
+        lambda kind, gap: digest(seed, F.col("split"), F.lit(kind), F.lit(gap), F.col("cluster_id")),
+    )
     if strict:
         _require_quotas(sample, targets)
     return sample
@@ -177,16 +187,12 @@ def two_level_quota_sample(positives: DataFrame, targets: Mapping[str, int], cap
     clusters = {s: 1 for s in targets} | {r["split"]: r["n"] for r in counted}
     limits = {s: min(cap, -(-5 * t // (4 * clusters[s]))) for s, t in targets.items()}
     place = [F.col("split"), F.col("gap_bin"), F.col("cluster_id")]
-    queued = _queued(positives, ["gap_bin"], digest(seed, *place, F.col("pair_id")), digest(seed, *place), max(limits.values()))
-    picked: list[DataFrame] = []
-    for gap in GAP_BINS:
-        quota = {s: even_quotas(t)[gap] for s, t in targets.items()}
-        step = queued.where((F.col("gap_bin") == gap) & F.col("split").isin(list(quota)))
-        pool = _with_prior(step, picked).withColumns(
-            {"_level": (F.col("_rn") - 1).cast("bigint"), "_total": F.col("_prior") + F.col("_rn") - 1}
-        ).where(F.col("_total") < _literal_targets(limits, "split"))
-        picked.append(materialize(first_by_level(pool, ["_level", "_total"], quota).drop(*HELPERS)))
-    sample = reduce(DataFrame.unionByName, picked)
+    numbered = _numbered(positives, ["gap_bin"], digest(seed, *place, F.col("pair_id")), max(limits.values()))
+    quotas = {(gap,): {s: even_quotas(t)[gap] for s, t in targets.items()} for gap in GAP_BINS}
+    sample = _taken(
+        numbered, list(quotas), ["gap_bin"], lambda queues, length, step: _fill_totals(queues, length, quotas[step], limits),
+        lambda gap: digest(seed, F.col("split"), F.lit(gap), F.col("cluster_id")),
+    )
     if strict:
         _require_quotas(sample, {s: {"positive": t} for s, t in targets.items()})
     return sample
