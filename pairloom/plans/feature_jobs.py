@@ -17,9 +17,11 @@ FIELDS = ["mx", "my", "area", "crop_w", "crop_h", "aspect", "visibility", *X.DEP
 SHUFFLED_FIELDS = ["sx", "sy", "sz", "sex", "sey", "sez"]
 
 EXTENT_SQL = ", ".join(f"abs(r{i}0)*ex + abs(r{i}1)*ey + abs(r{i}2)*ez AS we{a}" for i, a in enumerate("xyz"))
-OBSERVED = SUMMARY + f""", fo AS (SELECT su.*, (attribute % 32) / 32 AS mx, (frame % 24) / 24 AS my, 4 + attribute % 9 AS crop_w, 4 + frame % 6 AS crop_h, (4 + attribute % 9) / (4 + frame % 6) AS aspect,
+# The number of embeddings is counted once, so the join below is on two plain columns.
+OBSERVED = SUMMARY + f""", em AS MATERIALIZED (SELECT count(*) AS embeddings_n FROM embeddings),
+sv AS MATERIALIZED (SELECT su.*, observation_id % embeddings_n AS place FROM su, em), fo AS (SELECT sv.* EXCLUDE (place), (attribute % 32) / 32 AS mx, (frame % 24) / 24 AS my, 4 + attribute % 9 AS crop_w, 4 + frame % 6 AS crop_h, (4 + attribute % 9) / (4 + frame % 6) AS aspect,
   1 + floor(area * 0.8) AS visibility, cz AS d50, cz - 0.05::DOUBLE * (1 + attribute % 3) AS d25, cz - 0.05::DOUBLE * (1 + attribute % 3) - 0.1::DOUBLE * (1 + frame % 2) AS d05, cz + 0.04::DOUBLE * (1 + attribute % 4) AS d75,
-  cz + 0.04::DOUBLE * (1 + attribute % 4) + 0.1 AS d95, {EXTENT_SQL}, e.embedding FROM su JOIN embeddings e ON e.vec_id = observation_id % (SELECT count(*) FROM embeddings))"""
+  cz + 0.04::DOUBLE * (1 + attribute % 4) + 0.1 AS d95, {EXTENT_SQL}, e.embedding FROM sv JOIN embeddings e ON e.vec_id = place)"""
 
 
 # Donor poses: each frame gets the next one in hash order of its split.
@@ -132,7 +134,9 @@ def log_ratios(spark, folder):
     )
 
 
-@query("F7_cosine_similarity", WIDE_SQL + " SELECT pair_id, round(cosine, 8) AS cosine FROM wide")
+@query("F7_cosine_similarity", f"""WITH {V.PAIRS}, em AS MATERIALIZED (SELECT count(*) AS embeddings_n FROM embeddings),
+ev AS MATERIALIZED (SELECT observation_id, e.embedding::DOUBLE[] AS embedding FROM (SELECT event_id AS observation_id, event_id % embeddings_n AS place FROM events, em) JOIN embeddings e ON e.vec_id = place)
+SELECT pair_id, round(list_cosine_similarity(a.embedding, b.embedding), 8) AS cosine FROM pairs p JOIN ev a ON p.observation_id_a = a.observation_id JOIN ev b ON p.observation_id_b = b.observation_id""")
 def cosine_similarity(spark, folder):
     joined = pair_table(spark, folder, ["unit"])
     return joined.select("pair_id", F.round(X.cosine(F.col("unit_a"), F.col("unit_b")), 8).alias("cosine"))
