@@ -209,9 +209,15 @@ def table_fingerprint(spark, folder):
     return Q.fingerprint(orders, ["o_orderkey", "o_custkey", "status"], ["o_orderpriority"])
 
 
-@query("S6_source_provenance")
+@query("S6_source_provenance", "SELECT event_id, 'events.parquet' AS source_file, row_number() OVER (ORDER BY event_id) - 1 AS source_index FROM events")
 def provenance(spark, folder):
-    return S.with_provenance(V.table(spark, folder, "events"), ["event_id"]).select("event_id", "source_file", "source_index")
+    rows = S.with_provenance(V.table(spark, folder, "events"))
+    return rows.select("event_id", F.element_at(F.split("source_file", "/"), -1).alias("source_file"), "source_index")
+
+
+@query("S6_provenance_by_order", "SELECT event_id, row_number() OVER (ORDER BY user_id, event_id) - 1 AS source_index FROM events")
+def provenance_by_order(spark, folder):
+    return S.with_provenance(V.table(spark, folder, "events"), ["user_id", "event_id"]).select("event_id", "source_index")
 
 
 @query("S7_file_checksums")

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import base64
+import hashlib
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote
+
+import pandas as pd
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ordering import ranked
+
 # Fixed value: shard names end in the index and the number of shards.
 SHARD_NAME = r"-(\d{5})-of-(\d{5})"
 
@@ -45,9 +52,14 @@ def shard_counts(files: DataFrame, name: Column) -> DataFrame:
     ).withColumn("complete", (F.col("present") == F.col("total")) & (F.col("totals") == 1))
 
 
+def file_listing(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of the files below ``path``, from a listing; no file is opened."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+
+
 def shard_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Completeness of a folder of shards; reads no data columns."""
-    return shard_counts(spark.read.parquet(folder), F.col("_metadata.file_name"))
+    """Completeness of a folder of shards, by their names; a shard without rows counts as present."""
+    return shard_counts(file_listing(spark, folder), F.col("path"))
 
 
 def read_shards(spark: SparkSession, folder: str, require_complete: bool = True) -> DataFrame:
@@ -57,20 +69,48 @@ def read_shards(spark: SparkSession, folder: str, require_complete: bool = True)
     return spark.read.parquet(folder)
 
 
-def with_provenance(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Add the source file and the position of the row in it, by an explicit order.
+def with_provenance(df: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """Add the full path of the source file and the position of the row in it.
 
-    A source file is one task's worth of rows at most, so the window per file is bounded
-    by the file size.
+    Without ``order`` the position is the place in the file as Parquet stores it, known
+    to the scan, so nothing is shuffled. With it, rows are ranked inside their file by
+    slices, so a large file is not one task.
     """
-    place = Window.partitionBy("source_file").orderBy(*order)
-    return df.withColumn("source_file", F.col("_metadata.file_name")).withColumn("source_index", F.row_number().over(place) - 1)
+    placed = df.withColumn("source_file", F.col("_metadata.file_path"))
+    if not order:
+        return placed.withColumn("source_index", F.col("_metadata.row_index"))
+    return ranked(placed, ["source_file"], list(order)).withColumnRenamed("rank", "source_index").drop("size")
+
+
+# Bytes of a file that a task holds at a time.
+CHUNK = 4 << 20
+
+
+def _open(path: str):
+    """A stream over a file that Spark listed, in whatever file system it lies."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_stream("/" + path[len("file:"):].lstrip("/"), compression=None)
+    system, inner = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    return system.open_input_stream(inner, compression=None)
+
+
+def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for files in batches:
+        for path, length in zip(files["path"], files["length"]):
+            sha256, md5 = hashlib.sha256(), hashlib.md5()
+            with _open(path) as stream:
+                while chunk := stream.read(CHUNK):
+                    sha256.update(chunk)
+                    md5.update(chunk)
+            yield pd.DataFrame({
+                "file": [path.rsplit("/", 1)[-1]], "path": [path], "length": [length],
+                "sha256": [sha256.hexdigest()], "md5_base64": [base64.b64encode(md5.digest()).decode()],
+            })
 
 
 def file_checksums(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 (hex) and MD5 (base64) of whole files."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), "length",
-        F.sha2("content", 256).alias("sha256"), F.base64(F.unhex(F.md5("content"))).alias("md5_base64"),
-    )
+    """SHA-256 (hex) and MD5 (base64) of whole files, read chunk by chunk, so a file may be of any size."""
+    files = file_listing(spark, path)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A listing is a few rows that would share a task; the work is in what they name.
+    return files.repartition(parts, "path").mapInPandas(_digests, "file string, path string, length bigint, sha256 string, md5_base64 string")

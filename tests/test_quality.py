@@ -1,6 +1,7 @@
 import hashlib
 import base64
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +70,46 @@ def test_checksums(spark, tmp_path):
     assert row["md5_base64"] == base64.b64encode(hashlib.md5(b"some bytes").digest()).decode()
 
 
+def test_checksum_of_a_large_file_in_constant_memory(tmp_path):
+    """Three sparse gigabytes, more than a row can hold, through the function that a task runs."""
+    import resource
+
+    path, size = tmp_path / "large file.bin", 3 << 30
+    with open(path, "wb") as file:
+        file.truncate(size)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = next(S._digests(iter([pd.DataFrame({"path": [f"file:{path}"], "length": [size]})]))).iloc[0]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200 * 1024
+    expected, block = hashlib.sha256(), bytes(1 << 24)
+    for _ in range(size >> 24):
+        expected.update(block)
+    assert found["sha256"] == expected.hexdigest() and found["length"] == size
+
+
+def test_provenance_keeps_files_of_one_name_apart(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for folder, rows in {"one": [5, 3, 9], "two": [4, 8]}.items():
+        (tmp_path / folder).mkdir()
+        pq.write_table(pa.table({"a": rows}), tmp_path / folder / "same.parquet")
+    df = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path))
+    place = {(r["a"], r["source_file"].split("/")[-2], r["source_index"]) for r in S.with_provenance(df).collect()}
+    assert place == {(5, "one", 0), (3, "one", 1), (9, "one", 2), (4, "two", 0), (8, "two", 1)}
+    sorted_place = {(r["a"], r["source_index"]) for r in S.with_provenance(df, ["a"]).collect()}
+    assert sorted_place == {(3, 0), (5, 1), (9, 2), (4, 0), (8, 1)}
+
+
+def test_empty_shards_are_present(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for i, rows in enumerate(([1, 2], [])):
+        pq.write_table(pa.table({"a": pa.array(rows, pa.int64())}), tmp_path / f"data-{i:05d}-of-00003.parquet")
+    row = S.shard_report(spark, str(tmp_path)).first()
+    assert (row["present"], row["total"], row["complete"]) == (2, 3, False)
+
+
 def test_shards_must_be_complete(spark, tmp_path):
     import pyarrow as pa
     import pyarrow.parquet as pq
