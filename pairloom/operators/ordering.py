@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, stage
 
 
 def sliced_by_range(df: DataFrame, *order: str, slices: int | None = None) -> DataFrame:
@@ -121,3 +121,95 @@ def exact_quantiles(
         low, high, part = (F.col(f"_{side}_{name}") for side in ("low", "high", "part"))
         outputs.append((low + (high - low) * part if method == "linear" else high).alias(name))
     return found.select(*keys, "n", *outputs)
+
+
+# A key of more rows than this is not given to one task.
+HOT_ROWS = 1_000_000
+# Tables of hot keys up to this many rows are sent to the data.
+SENT_KEYS = 100_000
+DIGIT_BITS = 16
+
+
+def _ordered_bits(value: Column) -> Column:
+    """A long that sorts as the double does: its bits, the lower 63 inverted for negative numbers."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value + F.lit(0.0)).cast("bigint")
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(bits)
+
+
+def _double_of(bits: Column) -> Column:
+    raw = F.when(bits < 0, bits.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(bits)
+    return F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), raw).cast("double")
+
+
+def radix_quantiles(rows: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+    """(_key, _name, _q): exact interpolated quantiles of ``rows`` (_key, _name, _value).
+
+    A radix selection over the ordered bits of the double. Each of four passes counts
+    16 bits of the values that share the bits found so far, so what is shuffled is at
+    most 65,536 counts per wanted rank and task, however many rows a key has.
+    """
+    group = ["_key", "_name"]
+    bits = stage(rows.where(F.col("_value").isNotNull() & ~F.isnan("_value")).select(*group, _ordered_bits(F.col("_value")).alias("_bits")), "radix")
+    targets = None
+    for done in range(0, 64, DIGIT_BITS):
+        if targets is None:
+            digits = bits.select(*group, F.lit(0).cast("bigint").alias("_prefix"), F.shiftright("_bits", 64 - DIGIT_BITS).alias("_digit"))
+        else:
+            wanted = targets.select(*group, "_prefix").distinct()
+            digit = F.shiftright("_bits", 64 - DIGIT_BITS - done).bitwiseAND(F.lit((1 << DIGIT_BITS) - 1))
+            digits = bits.select(*group, F.shiftright("_bits", 64 - done).alias("_prefix"), digit.alias("_digit"))
+            # a few rows per key: at most two per probability
+            digits = digits.join(F.broadcast(wanted) if targets.count() <= SENT_KEYS else wanted, [*group, "_prefix"])
+        counts = digits.groupBy(*group, "_prefix", "_digit").agg(F.count(F.lit(1)).alias("_n"))
+        if targets is None:
+            counts = materialize(counts)
+            sizes = counts.groupBy(*group).agg(F.sum("_n").alias("_size"))
+            places = [(F.col("_size") - 1) * F.lit(float(p)) for p in probabilities]
+            ranks = [F.struct(F.lit(2 * i + side).alias("_t"), cut(place).cast("bigint").alias("_rest")) for i, place in enumerate(places) for side, cut in enumerate((F.floor, F.ceil))]
+            targets = sizes.select(*group, "_size", F.lit(0).cast("bigint").alias("_prefix"), F.explode(F.array(*ranks)).alias("_r")).select(*group, "_size", "_prefix", "_r.*")
+        # at most 65,536 rows, the counts of one digit
+        upto = F.sum("_n").over(Window.partitionBy(*group, "_prefix").orderBy("_digit"))
+        steps = counts.select(*group, "_prefix", "_digit", upto.alias("_upto"), (upto - F.col("_n")).alias("_before"))
+        found = targets.join(steps, [*group, "_prefix"]).where((F.col("_before") <= F.col("_rest")) & (F.col("_rest") < F.col("_upto")))
+        targets = materialize(found.select(
+            *group, "_size", (F.shiftleft("_prefix", DIGIT_BITS) + F.col("_digit")).alias("_prefix"), "_t", (F.col("_rest") - F.col("_before")).alias("_rest")
+        ))
+    values = targets.select(*group, "_size", "_t", _double_of(F.col("_prefix")).alias("_v"))
+    side = [F.max(F.when(F.col("_t") == t, F.col("_v"))).alias(f"_v{t}") for t in range(2 * len(probabilities))]
+    wide = values.groupBy(*group).agg(F.max("_size").alias("_size"), *side)
+
+    def between(i: int, p: float) -> Column:
+        place = (F.col("_size") - 1) * F.lit(float(p))
+        low, high = F.col(f"_v{2 * i}"), F.col(f"_v{2 * i + 1}")
+        return F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+
+    return wide.select(*group, F.array(*[between(i, p) for i, p in enumerate(probabilities)]).alias("_q"))
+
+
+def keyed_quantiles(df: DataFrame, keys: Sequence[str], values: Sequence[str], probabilities: Sequence[float], hot_rows: int | None = None) -> DataFrame:
+    """(keys, one array of exact interpolated quantiles per column of ``values``).
+
+    Nulls and NaN are left out; a column without a value gives null. Keys of up to
+    ``hot_rows`` rows are one aggregate. The others are counted first, at most one in
+    ``hot_rows`` rows is such a key, and go through ``radix_quantiles``.
+    """
+    limit = HOT_ROWS if hot_rows is None else hot_rows
+    keys, values = list(keys), list(values)
+    # a struct is equal to another also where its fields are null
+    rows = df.select(F.struct(*keys).alias("_key"), *[F.col(v).cast("double").alias(v) for v in values])
+    rows = rows.withColumns({v: F.when(~F.isnan(v), F.col(v)) for v in values})
+    hot = materialize(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select("_key"))
+    number = hot.count()
+    wanted = F.array(*[F.lit(float(p)) for p in probabilities])
+
+    def plain(part: DataFrame) -> DataFrame:
+        return part.groupBy("_key").agg(*[F.percentile(v, wanted).alias(v) for v in values])
+
+    if not number:
+        return plain(rows).select("_key.*", *values)
+    sent = F.broadcast(hot) if number <= SENT_KEYS else hot
+    # every hot key has a row here, also where all its values are null
+    long = rows.join(sent, "_key", "left_semi").unpivot(["_key"], values, "_name", "_value")
+    found = radix_quantiles(long, probabilities).groupBy("_key").agg(*[F.max(F.when(F.col("_name") == v, F.col("_q"))).alias(v) for v in values])
+    whole = hot.join(found, "_key", "left")
+    return plain(rows.join(sent, "_key", "left_anti")).unionByName(whole).select("_key.*", *values)

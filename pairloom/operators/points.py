@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from .ordering import exact_quantiles
+from .ordering import exact_quantiles, keyed_quantiles
 
 ROTATION = [f"r{i}{j}" for i in range(3) for j in range(3)]
 
@@ -26,24 +26,18 @@ def rotation_columns() -> tuple:
 def depth_summary(points: DataFrame, keys: Sequence[str], depth: str = "depth") -> DataFrame:
     """Count, five quantiles, mean and population deviation of the depth per key."""
     levels = {"q05": 0.05, "q25": 0.25, "median": 0.5, "q75": 0.75, "q95": 0.95}
-    # A key is one mask, so its distinct depths fit a task: one aggregate, one shuffle.
     value = F.when(~F.isnan(F.col(depth).cast("double")), F.col(depth).cast("double"))
-    summed = points.groupBy(*keys).agg(
-        F.avg(depth).alias("mean"), F.stddev_pop(depth).alias("std"), F.count(value).alias("n"), _percentiles(value, levels.values()).alias("_q")
-    )
-    return summed.select(*keys, "mean", "std", "n", *[F.col("_q")[i].alias(name) for i, name in enumerate(levels)])
-
-
-def _percentiles(value, levels):
-    """Exact, linearly interpolated percentiles as one array; null values are left out."""
-    return F.percentile(value, F.array(*[F.lit(p) for p in levels]))
+    rows = points.withColumn("_value", value)
+    moments = rows.groupBy(F.struct(*keys).alias("_key")).agg(F.avg(depth).alias("mean"), F.stddev_pop(depth).alias("std"), F.count("_value").alias("n"))
+    found = keyed_quantiles(rows, keys, ["_value"], list(levels.values())).select(F.struct(*keys).alias("_key"), F.col("_value").alias("_q"))
+    return moments.join(found, "_key").select("_key.*", "mean", "std", "n", *[F.col("_q")[i].alias(name) for i, name in enumerate(levels)])
 
 
 def robust_shape(points: DataFrame, keys: Sequence[str], axes: Sequence[str] = ("x", "y", "z")) -> DataFrame:
     """Median centroid and q95-q05 extent per axis."""
-    found = points.groupBy(*keys).agg(*[_percentiles(F.col(a).cast("double"), (0.05, 0.5, 0.95)).alias(f"_{a}") for a in axes])
+    found = keyed_quantiles(points, keys, list(axes), (0.05, 0.5, 0.95))
     return found.select(
-        *keys, *[F.col(f"_{a}")[1].alias(f"c{a}") for a in axes], *[(F.col(f"_{a}")[2] - F.col(f"_{a}")[0]).alias(f"e{a}") for a in axes]
+        *keys, *[F.col(a)[1].alias(f"c{a}") for a in axes], *[(F.col(a)[2] - F.col(a)[0]).alias(f"e{a}") for a in axes]
     )
 
 
@@ -71,9 +65,9 @@ def static_stability(observations: DataFrame, track: Sequence[str], keys: Sequen
     """
     names = [f"{s}_{a}" for s in ("camera", "world") for a in "xyz"]
     tracked = list(dict.fromkeys([*keys, *track]))
-    centre = observations.groupBy(*tracked).agg(
-        *[F.percentile(F.col(n).cast("double"), F.lit(0.5)).alias(f"m_{n}") for n in names], F.count(names[0]).alias("_n")
-    ).where("_n > 1").drop("_n")
+    seen = observations.groupBy(*tracked).agg(F.count(names[0]).alias("_n")).where("_n > 1").drop("_n")
+    medians = keyed_quantiles(observations, tracked, names, [0.5]).select(*tracked, *[F.col(n)[0].alias(f"m_{n}") for n in names])
+    centre = medians.join(seen, tracked)
     joined = observations.join(centre, tracked)
     gaps = {s: G.norm(tuple(F.col(f"{s}_{a}") - F.col(f"m_{s}_{a}") for a in "xyz")) for s in ("camera", "world")}
     deviations = joined.select(*keys, *[g.alias(s) for s, g in gaps.items()]).unpivot(list(keys), list(gaps), "space", "value")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pairloom.functions.bins import edge_bin, gap_bin, object_bin, tertile
 from pairloom.operators import bootstrap as B
 from pairloom.operators import metrics as M
-from pairloom.operators.ordering import exact_quantiles, ranked, running_totals
+from pairloom.operators.ordering import exact_quantiles, keyed_quantiles, ranked, running_totals
 from pairloom.operators.review import error_class
 
 
@@ -140,6 +140,29 @@ def test_quantiles_match_numpy(spark):
     assert exact_quantiles(small, [], "v", {"q": 0.25}, "higher").first()["q"] == 2.0
 
 
+def test_quantiles_of_hot_keys_by_radix_equal_one_aggregate(spark):
+    """A third of all rows in one key, a null key, nulls, NaN, signs, infinities, ties, and a hot key without values."""
+    draw = np.random.default_rng(11)
+    odd = [0.0, -0.0, 1e-310, -1e-310, float("inf"), float("-inf"), float("nan"), None, 1.5, 1.5, -7.25, 1e300]
+    rows = [("hot", float(v), 3.0) for v in draw.normal(0, 1e3, 400)] + [("hot", 0.125, None)] * 300
+    rows += [("small", float(v), float(-v)) for v in draw.normal(size=7)]
+    rows += [(None, v, 1.0) for v in odd * 20] + [("empty", None, None)] * 200 + [("odd", v, v) for v in odd]
+    df = spark.createDataFrame(rows, "k string, a double, b double").repartition(4)
+    levels = [0.0, 0.05, 0.25, 0.5, 0.95, 1.0]
+
+    def values(limit):
+        found = keyed_quantiles(df, ["k"], ["a", "b"], levels, limit).collect()
+        assert len(found) == 5
+        return {r["k"]: tuple(None if r[c] is None else [None if np.isnan(v) else v for v in r[c]] for c in ("a", "b")) for r in found}
+
+    expected = values(10**6)
+    plain = np.array([a for k, a, _ in rows if k == "hot"])
+    assert np.allclose(expected["hot"][0], np.quantile(plain, levels), rtol=1e-12)
+    assert expected["empty"] == (None, None)
+    for limit in (50, 0):
+        assert values(limit) == expected
+
+
 def clustered(spark, n=600, clusters=9, seed=5):
     rng = np.random.default_rng(seed)
     c, y = rng.integers(0, clusters, n), rng.integers(0, 2, n)
@@ -172,11 +195,33 @@ def test_bootstrap_matches_brute_force(spark):
         assert delta[i] == pytest.approx(expected, abs=1e-10)
 
 
-def test_matrix_does_not_depend_on_slices(spark, monkeypatch):
-    df, *_ = clustered(spark, 300, 5)
-    whole = sorted(map(tuple, B.cluster_auc_matrix(df).collect()))
-    monkeypatch.setattr(B, "SLICE_ROWS", 10)
-    assert sorted(map(tuple, B.cluster_auc_matrix(df).collect())) == whole
+def test_matrix_matches_all_pairs_whatever_the_tiles(spark, monkeypatch):
+    df, *_ = clustered(spark, 300, 9)
+    df = df.withColumn("score", F.round("score", 1))  # ties inside and across clusters
+    rows = df.select("system", "cluster_id", "label", "score").collect()
+    pairs = {}
+    for p in (r for r in rows if r["label"] == 1):
+        for n in (r for r in rows if r["label"] == 0 and r["system"] == p["system"]):
+            key = (p["system"], p["cluster_id"], n["cluster_id"])
+            pairs[key] = pairs.get(key, 0.0) + (p["score"] > n["score"]) + 0.5 * (p["score"] == n["score"])
+    expected = sorted((*k, v) for k, v in pairs.items() if v)
+    assert sorted(map(tuple, B.cluster_auc_matrix(df).collect())) == expected
+    for name, value in {"MATRIX_SLICE": 10, "TILE_CLUSTERS": 2, "TILE_GROUP": 3, "TILE_LEVELS": 2}.items():
+        monkeypatch.setattr(B, name, value)
+    assert sorted(map(tuple, B.cluster_auc_matrix(df).collect())) == expected
+
+
+def test_tile_does_not_depend_on_levels_at_a_time(monkeypatch):
+    draw = np.random.default_rng(3)
+    at, neg_at, pos, neg = (draw.integers(1, 9, n).astype(float) for n in (40, 60, 40, 60))
+    i, j = draw.integers(0, 5, 40), draw.integers(0, 7, 60)
+    expected = np.zeros((5, 7))
+    for a, p, c in zip(at, pos, i):
+        for b, n, d in zip(neg_at, neg, j):
+            expected[c, d] += p * n * ((a > b) + 0.5 * (a == b))
+    for levels in (1, 2, 512):
+        monkeypatch.setattr(B, "TILE_LEVELS", levels)
+        assert np.array_equal(B._tile_wins(at, i, pos, neg_at, j, neg, (5, 7), 0.5), expected)
 
 
 def test_identical_systems_have_zero_intervals(spark):
@@ -191,3 +236,22 @@ def test_matrix_of_many_clusters(spark):
     df = spark.range(n).selectExpr("'A' AS system", "id AS cluster_id", "CAST(id % 2 AS INT) AS label", "CAST(id AS DOUBLE) AS score").where("cluster_id > 2090 OR label = 0")
     got = B.cluster_auc_matrix(df).groupBy("pos_cluster").agg(F.sum("wins").alias("w")).collect()
     assert {r["pos_cluster"]: r["w"] for r in got} == {float(p): (p + 1) / 2 for p in range(2091, n, 2)}
+
+
+def test_matrix_of_fifty_thousand_clusters_works_in_tiles(spark, monkeypatch):
+    """A few rows per cluster, and no tile wider than its blocks."""
+    n, winners = 50_000, 30
+    df = spark.range(2 * n).selectExpr(
+        "'A' AS system", f"id % {n} AS cluster_id", f"CAST(id < {n} AND id % {n} < {winners} AS INT) AS label", f"CAST(id % {n} % 1000 AS DOUBLE) AS score"
+    )
+    widest = B.TILE_CLUSTERS * 1.25
+
+    def narrow(*args, plain=B._tile_wins):
+        assert max(args[6]) <= widest
+        return plain(*args)
+
+    monkeypatch.setattr(B, "_tile_wins", narrow)
+    got = B.cluster_auc_matrix(df).groupBy("pos_cluster").agg(F.sum("wins").alias("w")).collect()
+    score, label = np.arange(2 * n) % n % 1000, (np.arange(2 * n) < winners).astype(int)
+    negative = score[label == 0]
+    assert {r["pos_cluster"]: r["w"] for r in got} == {c: (negative < c).sum() + (negative == c).sum() / 2 for c in range(winners)}
