@@ -195,6 +195,20 @@ def test_bootstrap_matches_brute_force(spark):
         assert delta[i] == pytest.approx(expected, abs=1e-10)
 
 
+def test_weighted_sums_equal_the_join_of_draws(spark, monkeypatch):
+    """Ten thousand replicates shuffle a row per cluster and batch; sparse and null keys have rows only where drawn."""
+    draw = np.random.default_rng(2)
+    rows = [(k, c, int(draw.integers(0, 9)), int(draw.integers(-4, 5))) for k, share in (("a", 1.0), ("b", 0.1), (None, 0.3)) for c in range(40) if draw.random() < share]
+    counts = spark.createDataFrame(rows, "kind string, cluster_id bigint, n bigint, gain bigint")
+    draws = B.materialize(B.cluster_draws(counts, 10_000, 3))
+    joined = counts.join(draws, "cluster_id")
+    for keys in (["kind"], []):
+        expected = sorted(map(str, joined.groupBy("replicate", *keys).agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in ("n", "gain")]).collect()))
+        for clusters in (1_024, 7):
+            monkeypatch.setattr(B, "BLOCK_CLUSTERS", clusters)
+            assert sorted(map(str, B.weighted_sums(counts, draws, keys, ["n", "gain"]).collect())) == expected
+
+
 def test_matrix_matches_all_pairs_whatever_the_tiles(spark, monkeypatch):
     df, *_ = clustered(spark, 300, 9)
     df = df.withColumn("score", F.round("score", 1))  # ties inside and across clusters
