@@ -1,4 +1,4 @@
-"""Quota sampling, template split, 1:1 matching and balance of pairs."""
+"""Quota sampling, template split and balance of pairs."""
 
 from __future__ import annotations
 
@@ -13,10 +13,7 @@ from ..functions.ids import digest, hex_slice
 from ..session import materialize
 from .ordering import ranked
 
-# Weights of the matching distance and the balance gate.
-MEAN_BALANCE_WEIGHT = 50.0
-FRAME_PENALTY = 4.0
-FLAT_SCALE = 1e-6
+# Fixed value of the balance gate.
 SMD_GATE = 0.10
 
 
@@ -256,89 +253,11 @@ def balance_gate(report: DataFrame, keys: Sequence[str] = (), gate: float = SMD_
     )
 
 
-# Template tables up to this many rows are sent to the negatives instead of shuffling those.
-SENT_TEMPLATES = 100_000
-
-
-def match_negatives(templates: DataFrame, negatives: DataFrame, controls: Sequence[str], cap: int,
-                    prior: DataFrame | None = None, strict: bool = True) -> DataFrame:
-    """Give each template its nearest free negative, none used twice.
-
-    Both tables hold split, cluster_id, pair_id, frame_a, frame_b, gap_bin and
-    the control columns. A template looks at negatives of its own frame pair, or,
-    if none is free there, of its gap bin with a frame penalty. Every round pairs
-    mutual best choices; it ends when nothing can be added, so no candidate is
-    dropped. Templates left without a negative are an error, unless ``strict`` is off.
-
-    The number of templates is a quota. It is counted, and while it is small the
-    templates and all per-round state travel to the negatives, which then only
-    meet them and are reduced by min() before anything is shuffled.
-    """
-    key = ["split", "gap_bin", "pair_id"]
-    wanted = materialize(
-        templates.select(F.col("split"), "gap_bin", F.col("pair_id").alias("template_id"), F.col("frame_a").alias("_ta"),
-                         F.col("frame_b").alias("_tb"), *[F.col(c).alias(f"_t_{c}") for c in controls])
-    )
-    asked, done = wanted.count(), 0
-    sent = F.broadcast if asked <= SENT_TEMPLATES else (lambda df: df)
-    pool = materialize(negatives.select(*key, "cluster_id", "frame_a", "frame_b", *controls).withColumnRenamed("pair_id", "negative_id"))
-    scale = {
-        r["split"]: r
-        for r in wanted.groupBy("split").agg(
-            *[F.coalesce(F.stddev_samp(f"_t_{c}"), F.lit(0.0)).alias(f"sd_{c}") for c in controls], *[F.avg(f"_t_{c}").alias(f"mean_{c}") for c in controls]
-        ).collect()
-    }
-
-    def per_split(value) -> Column:
-        """A number per split as a column; there are as many as splits."""
-        return F.create_map(*[F.lit(x) for s, r in scale.items() for x in (s, float(value(s, r)))])[F.col("split")]
-
-    spread = {c: per_split(lambda s, r, c=c: r[f"sd_{c}"] if r[f"sd_{c}"] >= FLAT_SCALE else 1.0) for c in controls}
-    mean = {c: per_split(lambda s, r, c=c: r[f"mean_{c}"]) for c in controls}
-    direct = sum(F.pow((F.col(c) - F.col(f"_t_{c}")) / F.col(f"_sd_{c}"), 2) for c in controls)
-    pool = pool.withColumns({f"_sd_{c}": spread[c] for c in controls})
-    matched: DataFrame | None = None
-    while done < asked:
-        free, open_templates, used, sums = pool, wanted, prior, {}
-        if matched is not None:
-            free = pool.join(sent(matched.select("negative_id")), "negative_id", "left_anti")
-            open_templates = wanted.join(sent(matched.select("template_id")), "template_id", "left_anti")
-            mine = matched.groupBy("split", "cluster_id").agg(F.count(F.lit(1)).alias("used"))
-            used = mine if prior is None else prior.unionByName(mine).groupBy("split", "cluster_id").agg(F.sum("used").alias("used"))
-            sums = {r["split"]: r for r in matched.groupBy("split").agg(F.count(F.lit(1)).alias("m"), *[F.sum(c).alias(c) for c in controls]).collect()}
-        if used is not None:
-            free = free.join(used, ["split", "cluster_id"], "left").withColumn("used", F.coalesce("used", F.lit(0))).where(F.col("used") < cap)
-        else:
-            free = free.withColumn("used", F.lit(0).cast("bigint"))
-        count = per_split(lambda s, r: sums[s]["m"] if s in sums else 0)
-        pull = sum(
-            F.pow(((per_split(lambda s, r, c=c: sums[s][c] if s in sums else 0.0) + F.col(c)) / (count + 1) - mean[c]) / F.col(f"_sd_{c}"), 2)
-            for c in controls
-        )
-        free = free.withColumn("_pull", MEAN_BALANCE_WEIGHT * pull)
-
-        def best(joined: DataFrame, extra: Column, exact: bool) -> DataFrame:
-            offer = F.struct(F.round(direct + F.col("_pull") + extra, 9).alias("cost"), F.col("negative_id"))
-            chosen = joined.groupBy("split", "gap_bin", "template_id").agg(F.min(offer).alias("_o"))
-            return chosen.select("split", "gap_bin", "template_id", "_o.cost", "_o.negative_id", F.lit(exact).alias("exact_frames"))
-
-        frames = sent(open_templates.withColumnsRenamed({"_ta": "frame_a", "_tb": "frame_b"}))
-        exact = materialize(best(free.drop("gap_bin").join(frames, ["split", "frame_a", "frame_b"]), F.lit(0.0), True))
-        rest = open_templates.join(sent(exact.select("template_id")), "template_id", "left_anti")
-        penalty = FRAME_PENALTY * (F.abs(F.col("frame_a") - F.col("_ta")) + F.abs(F.col("frame_b") - F.col("_tb")))
-        offers = materialize(exact.unionByName(best(free.join(sent(rest), ["split", "gap_bin"]), penalty, False)))
-        mutual = offers.groupBy("negative_id").agg(F.min(F.struct("cost", "template_id")).alias("_w")).select("negative_id", "_w.template_id")
-        details = free.drop("gap_bin", "split", "_pull").join(sent(offers.join(mutual, ["negative_id", "template_id"])), "negative_id")
-        details = details.join(sent(wanted.drop("split", "gap_bin", "_ta", "_tb")), "template_id").withColumn("distance", F.round(direct, 9))
-        accepted = capped(details, F.col("used"), cap, ["split", "cluster_id"], ["cost", "template_id"])
-        step = materialize(accepted.select("split", "gap_bin", "template_id", "negative_id", "cluster_id", "distance", "exact_frames", *controls))
-        added = step.count()
-        if added == 0:
-            break
-        done += added
-        matched = step if matched is None else matched.unionByName(step)
-    if strict and done < asked:
-        raise ValueError(f"{asked - done} of {asked} templates have no negative left")
-    if matched is None:
-        raise ValueError("no negative fits any template")
-    return matched.drop(*controls)
+def require_balance(pairs: DataFrame, controls: Mapping[str, Column], keys: Sequence[str] = (), gate: float = SMD_GATE) -> DataFrame:
+    """The gate's rows; a comparison that fails it is an error that names its worst control."""
+    rows = materialize(balance_gate(balance_report(pairs, controls, keys), keys, gate))
+    failed = rows.where(~F.coalesce("passed", F.lit(False))).orderBy(*keys, "comparison").limit(1).collect()
+    if failed:
+        place = "/".join(str(failed[0][k]) for k in (*keys, "comparison"))
+        raise ValueError(f"{place}: largest SMD {failed[0]['max_smd']} ({failed[0]['worst_control']}) exceeds {gate}")
+    return rows

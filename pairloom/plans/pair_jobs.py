@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.bins import GAP_BINS, gap_bin, object_bin
 from ..functions.ids import digest, stable_id, unordered_pair_id
+from ..operators import matching
 from ..operators import pair_sampling as sampling
 from ..operators import pairs as P
 from ..operators.ordering import exact_quantiles
+from ..session import materialize
 from . import views as V
 from .registry import query
 
@@ -393,19 +395,17 @@ def balance_gate(spark, folder):
     return sampling.balance_gate(report, ["split"]).withColumn("max_smd", F.round("max_smd", 8))
 
 
-def matched(spark, folder):
-    pairs = with_controls(V.staged_pairs(spark, folder))
-    templates = sampling.split_templates(chosen_positives(pairs), V.SEED)
-    parts = []
+def matched(spark, folder, pairs=None):
+    pairs = with_controls(V.staged_pairs(spark, folder)) if pairs is None else pairs
+    templates = materialize(sampling.split_templates(chosen_positives(pairs), V.SEED))
     used = templates.groupBy("split", "cluster_id").agg(F.count(F.lit(1)).alias("used"))
-    for kind in ("hard", "easy"):
-        found = sampling.match_negatives(
-            templates.where(F.col("template_for") == kind), pairs.where(F.col("kind") == kind), CONTROLS, MATCH_CAP, used
-        ).withColumn("kind", F.lit(kind))
-        parts.append(found)
-        mine = found.groupBy("split", "cluster_id").agg(F.count(F.lit(1)).alias("used"))
-        used = used.unionByName(mine).groupBy("split", "cluster_id").agg(F.sum("used").alias("used"))
-    return templates, parts[0].unionByName(parts[1]), used
+    lanes = ["split", "kind"]
+    goals = templates.withColumn("kind", F.explode(F.array(F.lit("hard"), F.lit("easy"))))
+    found = matching.match_negatives(
+        templates.withColumn("kind", F.col("template_for")), pairs.where("kind <> 'positive'"), CONTROLS, MATCH_CAP, used,
+        lanes=lanes, grid=["c_area_a", "c_area_b"], goals=goals,
+    )
+    return templates, found
 
 
 MATCH_CAP = 60
@@ -413,7 +413,7 @@ MATCH_CAP = 60
 
 @query("J14_matched_negatives")
 def matched_negatives(spark, folder):
-    _, found, _ = matched(spark, folder)
+    _, found = matched(spark, folder)
     return found.select("split", "kind", "gap_bin", "template_id", "negative_id", "cluster_id", "exact_frames", F.round("distance", 6).alias("distance"))
 
 
@@ -423,7 +423,7 @@ SELECT split, template_for AS kind, count(*) AS templates, count(*) AS matched,
 FROM templates GROUP BY ALL
 """)
 def matching_invariants(spark, folder):
-    templates, found, _ = matched(spark, folder)
+    templates, found = matched(spark, folder)
     pairs = V.pairs(spark, folder).select(
         F.col("pair_id").alias("negative_id"), F.col("kind").alias("true_kind"), F.col("gap_bin").alias("negative_bin"), F.col("split").alias("negative_split")
     )
@@ -437,12 +437,22 @@ def matching_invariants(spark, folder):
     return asked.join(checked, ["split", "kind"], "left")
 
 
+@query("A13_matched_gate")
+def matched_gate(spark, folder):
+    """The balance gate over the positives and the negatives matched to them, a row per split and kind."""
+    pairs = with_controls(V.staged_pairs(spark, folder))
+    templates, found = matched(spark, folder, pairs)
+    negatives = pairs.join(found.select(F.col("negative_id").alias("pair_id")), "pair_id", "left_semi")
+    both = templates.select("split", "kind", *CONTROLS).unionByName(negatives.select("split", "kind", *CONTROLS))
+    return sampling.balance_gate(sampling.balance_report(both, {c: F.col(c) for c in CONTROLS}, ["split"]), ["split"])
+
+
 @query("J17_template_links", f"""
 WITH {V.PAIRS}, {positives_sql()}{TEMPLATE_SQL}
 SELECT pair_id AS template_id, split, template_for AS kind, gap_bin AS template_bin, 1 AS links FROM templates
 """)
 def template_links(spark, folder):
-    templates, found, _ = matched(spark, folder)
+    templates, found = matched(spark, folder)
     linked = found.join(templates.select(F.col("pair_id").alias("template_id"), F.col("gap_bin").alias("template_bin")), "template_id")
     return linked.groupBy("template_id", "split", "kind", "template_bin").agg(F.count(F.lit(1)).alias("links"))
 

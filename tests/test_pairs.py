@@ -1,9 +1,11 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from pairloom.functions.ids import digest, unordered_pair_id
+from pairloom.operators import matching as M
 from pairloom.operators import pair_sampling as S
 from pairloom.operators import pairs as P
 
@@ -49,8 +51,8 @@ def test_even_quotas():
 def test_a_template_without_a_negative_is_an_error(spark):
     templates, negatives = matching_tables(spark)
     with pytest.raises(ValueError, match="have no negative left"):
-        S.match_negatives(templates, negatives.limit(3), ["c1", "c2"], cap=12)
-    assert S.match_negatives(templates, negatives.limit(3), ["c1", "c2"], cap=12, strict=False).count() <= 3
+        M.match_negatives(templates, negatives.limit(3), ["c1", "c2"], cap=12)
+    assert M.match_negatives(templates, negatives.limit(3), ["c1", "c2"], cap=12, strict=False).count() <= 3
 
 
 def test_pair_id_ignores_order(spark):
@@ -112,14 +114,95 @@ def matching_tables(spark):
 
 def test_matching_is_one_to_one_capped_and_complete(spark):
     templates, negatives = matching_tables(spark)
-    found = S.match_negatives(templates, negatives, ["c1", "c2"], cap=12).toPandas()
+    found = M.match_negatives(templates, negatives, ["c1", "c2"], cap=12).toPandas()
     assert len(found) == 40 and found["negative_id"].is_unique and found["template_id"].is_unique
     assert found.groupby("cluster_id").size().max() <= 12
-    again = S.match_negatives(templates.repartition(7), negatives.repartition(3), ["c1", "c2"], cap=12).toPandas()
+    again = M.match_negatives(templates.repartition(7), negatives.repartition(3), ["c1", "c2"], cap=12).toPandas()
     pairs = lambda t: sorted(zip(t["template_id"], t["negative_id"]))
     assert pairs(found) == pairs(again)
 
 
+def plain_matching(templates, negatives, batch_of, cap, batches):
+    """The rounds with every free negative looked at, one lane, controls at places 6 and 7."""
+    mean = [sum(t[i] for t in templates) / len(templates) for i in (6, 7)]
+    sd = [(sum((t[i] - m) ** 2 for t in templates) / (len(templates) - 1)) ** 0.5 for i, m in zip((6, 7), mean)]
+    z = lambda r: [r[6] / sd[0], r[7] / sd[1]]
+    goal, free, used, out = [m / s for m, s in zip(mean, sd)], {n[2]: n for n in negatives}, Counter(), {}
+    for batch in range(batches):
+        waiting = {t[2]: t for t in templates if batch_of[t[2]] == batch}
+        count, sums = len(out), [sum(z(n)[i] for n in out.values()) for i in (0, 1)]
+
+        def cost(t, n, moved):
+            value = sum((a - b) ** 2 for a, b in zip(z(t), z(n)))
+            if count:
+                value += 50 * sum(((s + a) / (count + 1) - g) ** 2 for s, a, g in zip(sums, z(n), goal))
+            return round(value + (4 * (abs(t[3] - n[3]) + abs(t[4] - n[4])) if moved else 0), 9)
+
+        while True:
+            offers = {}
+            for t in waiting.values():
+                open_ = [n for n in free.values() if used[n[1]] < cap]
+                same = [n for n in open_ if n[3:5] == t[3:5]]
+                pool = same or [n for n in open_ if n[5] == t[5]]
+                if pool:
+                    offers[t[2]] = min((cost(t, n, not same), n[2]) for n in pool)
+            winners = {}
+            for t, (c, n) in offers.items():
+                winners[n] = min(winners.get(n, (c, t)), (c, t))
+            if not winners:
+                break
+            for n, (c, t) in sorted(winners.items(), key=lambda w: w[1]):
+                if used[free[n][1]] < cap:
+                    out[t] = free.pop(n)
+                    used[out[t][1]] += 1
+                    del waiting[t]
+    return {t: n[2] for t, n in out.items()}
+
+
+@pytest.mark.parametrize("n_templates, n_negatives, cap, frames", [(20, 140, 100, 3), (20, 30, 5, 30), (24, 20, 4, 200)])
+def test_matching_equals_rounds_over_all_negatives(spark, monkeypatch, n_templates, n_negatives, cap, frames):
+    """Few and many frame pairs, more templates than negatives, clusters that fill up."""
+    monkeypatch.setattr(M, "KEPT", 3)
+    monkeypatch.setattr(M, "ENOUGH", 2)
+    runs = []
+    kept = M._Search.__init__
+    monkeypatch.setattr(M._Search, "__init__", lambda self, *a: (runs.append(self), kept(self, *a))[1])
+    rng = random.Random(n_templates + frames)
+    schema = "split string, cluster_id bigint, pair_id string, frame_a bigint, frame_b bigint, gap_bin string, c1 double, c2 double"
+
+    def rows(prefix, n):
+        out = []
+        for i in range(n):
+            a, gap = rng.randint(0, frames), rng.choice((3, 8, 14))
+            cluster = 0 if i % 3 == 0 else rng.randint(1, 8)
+            out.append(("train", cluster, f"{prefix}{i:03d}", a, a + gap, {3: "short", 8: "medium", 14: "long"}[gap], rng.random(), rng.random() ** 2))
+        return out
+
+    templates, negatives = rows("t", n_templates), rows("n", n_negatives)
+    df = spark.createDataFrame(templates, schema)
+    batch_of = {r[0]: r[1] for r in df.select("pair_id", F.pmod(F.xxhash64("pair_id"), F.lit(2))).collect()}
+    got = M.match_negatives(df, spark.createDataFrame(negatives, schema), ["c1", "c2"], cap, strict=False, batches=2)
+    assert {r["template_id"]: r["negative_id"] for r in got.collect()} == plain_matching(templates, negatives, batch_of, cap, 2)
+    assert runs[0].searches <= 2 * 6
+
+
+def test_negatives_stay_in_their_lane_and_clusters_under_one_cap(spark):
+    rows = [("train", k, c, f"{k}{c}{i}", 1, 4, "short", float(i)) for k in ("hard", "easy") for c in (1, 2) for i in range(6)]
+    schema = "split string, kind string, cluster_id bigint, pair_id string, frame_a bigint, frame_b bigint, gap_bin string, c double"
+    negatives = spark.createDataFrame(rows, schema)
+    templates = spark.createDataFrame([("train", k, 9, f"t{k}{i}", 1, 4, "short", float(i)) for k in ("hard", "easy") for i in range(4)], schema)
+    prior = spark.createDataFrame([("train", 1, 3)], "split string, cluster_id bigint, used bigint")
+    found = M.match_negatives(templates, negatives, ["c", "frame_a"], 6, prior, lanes=["split", "kind"]).toPandas()
+    assert all(r.template_id[1:5] == r.negative_id[:4] for r in found.itertuples()) and len(found) == 8
+    assert found.groupby("cluster_id").size().to_dict() in ({1: 3, 2: 5}, {1: 2, 2: 6})
+
+
+def test_unbalanced_matches_are_refused(spark):
+    rows = [(k, v + (k == "easy")) for k in ("positive", "hard", "easy") for v in (1.0, 2.0, 5.0)]
+    with pytest.raises(ValueError, match="easy: largest SMD"):
+        S.require_balance(spark.createDataFrame(rows, "kind string, v double"), {"v": F.col("v")})
+
+
 def test_balance_of_equal_groups_is_zero(spark):
     rows = [(k, v) for k in ("positive", "hard", "easy") for v in (1.0, 2.0, 5.0)]
     report = S.balance_report(spark.createDataFrame(rows, "kind string, v double"), {"v": F.col("v")})
