@@ -181,25 +181,28 @@ def match_negatives(templates: DataFrame, negatives: DataFrame, controls: Sequen
             ]
             pull = F.when(count > 0, MEAN_BALANCE_WEIGHT * sum((F.pow(o, 2) for o in offs), F.lit(0.0))).otherwise(0.0)
         priced = pool.withColumn("_pull", pull)
-        waiting, live, turn = materialize(wanted.where(F.col("_batch") == batch).drop("_batch")), None, 0
-        while not waiting.isEmpty():
+        todo, lists, turn = materialize(wanted.where(F.col("_batch") == batch).drop("_batch")), None, 0
+        while True:
+            # Only what was accepted is written in a round; who waits and what is free follow from it.
+            waiting = todo if matched is None else todo.join(sent(matched.select("template_id")), "template_id", "left_anti")
+            if waiting.isEmpty():
+                break
+            live = None if lists is None else still_free(lists).join(sent(waiting.select("template_id")), "template_id", "left_semi")
             need = waiting if live is None else waiting.join(sent(live.select("template_id").distinct()), "template_id", "left_anti")
             if live is None or not need.isEmpty():
-                fresh = still_free(search(need, still_free(priced).drop("used"), turn))
-                turn += 1
-                live = materialize((fresh if live is None else live.unionByName(fresh)).coalesce(parts))
+                offers = search(materialize(need), still_free(priced).drop("used"), turn)
+                lists, turn = materialize((offers if live is None else offers.unionByName(live.drop("used"))).coalesce(parts)), turn + 1
                 # Those that found nothing have nothing left: what is free only ever shrinks.
-                waiting = materialize(waiting.join(sent(live.select("template_id").distinct()), "template_id", "left_semi"))
+                todo = materialize(waiting.join(sent(lists.select("template_id").distinct()), "template_id", "left_semi").coalesce(parts))
+                live = still_free(lists)
             names = [c for c in live.columns if c not in ("template_id", "cost", "negative_id")]
             best = live.groupBy("template_id").agg(F.min(F.struct("cost", "negative_id", *names)).alias("_o")).select("template_id", "_o.*")
             order = Window.partitionBy("negative_id").orderBy("cost", "template_id")
             mutual = best.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
             place = F.row_number().over(Window.partitionBy("split", "cluster_id").orderBy("cost", "template_id"))
             taken = mutual.withColumn("_rn", place).where(F.col("used") + F.col("_rn") <= cap).drop("_rn", "used", "split")
-            step = waiting.select(*lanes, "gap_bin", "template_id").join(taken, "template_id")
+            step = todo.select(*lanes, "gap_bin", "template_id").join(taken, "template_id")
             matched = materialize((step if matched is None else matched.unionByName(step)).coalesce(parts))
-            waiting = materialize(waiting.join(sent(matched.select("template_id")), "template_id", "left_anti").coalesce(parts))
-            live = materialize(still_free(live.drop("used").join(sent(waiting.select("template_id")), "template_id", "left_semi")).coalesce(parts))
     done = matched.count()
     if strict and done < asked:
         raise ValueError(f"{asked - done} of {asked} templates have no negative left")

@@ -159,7 +159,7 @@ def plain_matching(templates, negatives, batch_of, cap, batches):
     return {t: n[2] for t, n in out.items()}
 
 
-@pytest.mark.parametrize("n_templates, n_negatives, cap, frames", [(20, 140, 100, 3), (20, 30, 5, 30), (24, 20, 4, 200)])
+@pytest.mark.parametrize("n_templates, n_negatives, cap, frames", [(16, 100, 100, 3), (18, 16, 4, 200)])
 def test_matching_equals_rounds_over_all_negatives(spark, monkeypatch, n_templates, n_negatives, cap, frames):
     """Few and many frame pairs, more templates than negatives, clusters that fill up."""
     monkeypatch.setattr(M, "KEPT", 3)
