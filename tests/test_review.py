@@ -75,3 +75,23 @@ def test_missing_candidate_is_an_error(spark):
     _, df = errors(spark, 50)
     with pytest.raises(ValueError):
         R.diverse_review(df.where("system = 'A'"), R.method_slots(("A", "B")))
+
+
+def test_unfilled_slots_stay_visible(spark):
+    rows, df = errors(spark, 50)
+    slots = R.method_slots(("A", "B"))
+    for sample in (R.diverse_review(df.where("system = 'A'"), slots, strict=False), R.scarce_review(df.where("system = 'A'"), slots, strict=False)):
+        got = {r["slot"]: r["pair_id"] for r in sample.collect()}
+        assert sorted(got) == list(range(1, len(slots) + 1))
+        assert all(got[i + 1] is None for i, s in enumerate(slots) if dict(s.wanted)["system"] == "B")
+        filled = [p for p in got.values() if p is not None]
+        assert filled and len(filled) == len(set(filled))
+
+
+def test_slot_mask_names_every_slot(spark):
+    rows, df = errors(spark, 60)
+    slots = R.method_slots(("A", "B"))
+    masks = {(r["pair_id"], r["system"]): r["m"] for r in df.select("pair_id", "system", R.slot_mask(slots).alias("m")).collect()}
+    assert all(masks[r["pair_id"], r["system"]] == sum(1 << i for i, s in enumerate(slots) if fits(r, s)) for r in rows)
+    with pytest.raises(ValueError, match="at most 63"):
+        R.slot_mask(slots * 6)
