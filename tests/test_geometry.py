@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.functions import geometry as G
+from pairloom.functions.numbers import rounded_to
 from pairloom.operators import points as P
 from pairloom.operators import stress as T
 
@@ -98,3 +99,27 @@ def test_camera_motion_of_a_straight_path(spark):
     poses = spark.createDataFrame([(1, t, float(t), 0.0, 1.0, 1.0, 0.0, 0.0, 0.0) for t in range(4)], "cluster_id int, frame int, px double, py double, pz double, qw double, qx double, qy double, qz double")
     row = P.camera_motion(poses).first()
     assert row["displacement"] == 3.0 and row["path_length"] == 3.0 and row["step_max"] == 1.0 and row["rotation"] == pytest.approx(0)
+
+
+def test_noise_of_rows_equals_the_join_with_frames_and_shuffles_nothing(spark):
+    frames, seen = frames_and_observations(spark)
+    grid, keys = T.noise_grid((0.0, 0.5), (0.0, 5.0)), ["cluster_id", "frame"]
+    names = ["vx", "vy", "vz", "vex", "vey", "vez"]
+    joined = T.noisy_summaries(seen, T.noisy_frames(frames, grid, 3, keys), keys).select("observation_id", "condition_id", *names)
+    rows = T.noisy_rows(seen, grid, 3, {"": keys}, ["observation_id"]).select(*joined.columns)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    expected = {r[:2]: r[2:] for r in joined.collect()}
+    got = {r[:2]: r[2:] for r in rows.collect()}
+    assert got.keys() == expected.keys() and len(got) == 8
+    for key, values in expected.items():
+        assert got[key] == pytest.approx(values, abs=1e-12)
+    hollow = T.noisy_rows(seen.withColumn("wx", F.lit(None).cast("double")), grid, 3, {"": keys}, ["observation_id"])
+    assert hollow.where("vx IS NULL AND vy IS NULL AND vex IS NOT NULL").count() == 8
+
+
+def test_rounding_goes_away_from_zero_and_keeps_what_has_no_digits(spark):
+    values = [0.125, -0.125, 2.5e-7, -2.5, 1e300, float("inf"), None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r[0] for r in df.select(rounded_to(F.col("v"), 2)).collect()] == [0.13, -0.13, 0.0, -2.5, 1e300, float("inf"), None]
+    assert math.isnan(df.limit(1).select(rounded_to(F.lit(float("nan")), 2)).first()[0])
