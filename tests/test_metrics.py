@@ -269,3 +269,15 @@ def test_matrix_of_fifty_thousand_clusters_works_in_tiles(spark, monkeypatch):
     score, label = np.arange(2 * n) % n % 1000, (np.arange(2 * n) < winners).astype(int)
     negative = score[label == 0]
     assert {r["pos_cluster"]: r["w"] for r in got} == {c: (negative < c).sum() + (negative == c).sum() / 2 for c in range(winners)}
+
+
+def test_tile_of_one_slice_is_final_and_positive_wins_are_the_margin(spark, monkeypatch):
+    df, *_ = clustered(spark, 300, 9)
+    df = df.withColumn("score", F.round("score", 1))
+    plan = lambda m: m._jdf.queryExecution().optimizedPlan().toString()
+    matrix = B.cluster_auc_matrix(df)
+    assert "sum(wins" not in plan(matrix)
+    margin = {r[:2]: r[2] for r in matrix.groupBy("system", "pos_cluster").agg(F.sum("wins")).collect()}
+    assert {r[:2]: r[2] for r in B.positive_wins(df).where("wins > 0").collect()} == margin
+    monkeypatch.setattr(B, "MATRIX_SLICE", 10)
+    assert "sum(wins" in plan(B.cluster_auc_matrix(df))
