@@ -17,14 +17,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of u is tied to the smallest of u and its neighbours."""
     around = _both_ways(edges)
     smallest = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    tied = around.where("v > u").join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    tied = around.where("v > u").join(smallest.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return tied.where("u != v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """u and its smaller neighbours are tied to the smallest of them. Edges have u > v."""
     smallest = edges.groupBy("u").agg(F.min("v").alias("m"))
-    joined = edges.join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    joined = edges.join(smallest.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return joined.unionByName(smallest.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 
@@ -38,7 +38,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     component is its smallest node. No edges give an empty table; loops are ignored.
 
     The number of rounds grows with the logarithm of the longest path; each round is
-    written to the shared folder, so a lost executor repeats one round only.
+    written to the shared folder, so a lost executor repeats one round only. Rounds join by
+    merging: a broadcast would bring the nodes of every round into the driver's memory.
     """
     current = stage(
         edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"

@@ -93,8 +93,8 @@ def _sets(docs: DataFrame) -> DataFrame:
 def _frequent(docs: DataFrame) -> Frequent:
     step = min(EVERY, docs.count() // SAMPLE + 1)
     counted = _sets(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)).select(F.explode("shingles").alias("s")).groupBy("s").count()
-    rows = counted.where("count > 2").orderBy(F.desc("count"), "s").limit(FREQUENT).collect()
-    return Frequent(np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64))
+    rows = counted.where("count > 2").orderBy(F.desc("count"), "s").limit(FREQUENT).toArrow()
+    return Frequent(rows.column("s").to_numpy().view(np.uint64), rows.column("count").to_numpy())
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
