@@ -281,3 +281,32 @@ def test_tile_of_one_slice_is_final_and_positive_wins_are_the_margin(spark, monk
     assert {r[:2]: r[2] for r in B.positive_wins(df).where("wins > 0").collect()} == margin
     monkeypatch.setattr(B, "MATRIX_SLICE", 10)
     assert "sum(wins" in plan(B.cluster_auc_matrix(df))
+
+
+def test_ranking_by_pieces_and_heavy_weights(spark, monkeypatch):
+    """Scores that go on over batches and pieces, weights of more than a byte, a null key and one without draws."""
+    draw = np.random.default_rng(4)
+    rows = [(k, int(draw.integers(0, 6)), int(draw.integers(0, 2)), float(draw.integers(0, 30)) / 10) for k in ("a", "b", None) for _ in range(400)]
+    rows += [("alone", 9, 1, 0.5), ("alone", 9, 0, 0.1)]
+    df = spark.createDataFrame(rows, "kind string, cluster_id bigint, label int, score double")
+    table = {(r, c): int(draw.choice([0, 1, 2, 300, 700])) for r in (0, 1, 499, 500, 777) for c in range(6)}
+    draws = spark.createDataFrame([(r, c, w) for (r, c), w in table.items() if w], "replicate int, cluster_id bigint, weight bigint")
+    packed = B.packed_weights(draws)
+    assert sum(sum(r["_weights"]) for r in packed.collect()) == sum(table.values())
+    assert B.packed_weights(packed) is packed
+    monkeypatch.setattr(B, "PIECE_LEVELS", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r["replicate"], r["kind"]): r for r in B.replicate_ranking(df, packed, ["kind"]).collect()}
+        plain = {(r["replicate"], r["kind"]): r["auroc"] for r in B.replicate_ranking(df, draws, ["kind"], precision=False).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert plain == {k: r["auroc"] for k, r in got.items()}
+    assert {k for _, k in got} == {"a", "b", None}
+    for (replicate, kind), row in got.items():
+        mine = [r for r in rows if r[0] == kind]
+        y, v = np.array([r[2] for r in mine]), np.array([r[3] for r in mine])
+        w = np.array([table[replicate, r[1]] for r in mine], float)
+        assert (row["positives"], row["negatives"]) == (w[y == 1].sum(), w[y == 0].sum())
+        assert row["auroc"] == pytest.approx(brute_auroc(y, v, w), abs=1e-10)
+        assert row["average_precision"] == pytest.approx(brute_ap(y, v, w), abs=1e-10)
