@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pairloom.operators import features as X
 from pairloom.operators import model as L
+from pairloom.operators import newton
 
 
 def table(spark, n=900):
@@ -143,3 +144,28 @@ def test_test_split_is_sealed_until_a_lock_exists(spark, tmp_path):
         store.scored_test(spark, L.fit(fitting, ["x"], 1.0), ["pair_id"])
     held = L.sweep(fitting, {"m": ["x"]}, grid=(1.0,))
     assert store.scored_test(spark, held, ["pair_id"]).count() == 180
+
+
+def test_start_from_a_sample_gives_the_same_fit_in_fewer_passes(spark, monkeypatch):
+    df = table(spark, 4_000).withColumn("near", F.col("x") + 0.01 * F.col("y"))
+    systems = {"one": ["x"], "all": ["x", "y", "near", "flat"]}
+    whole, many = L.fit_grid(df, systems)
+    monkeypatch.setattr(newton, "START_ROWS", 300)
+    seen, passed = [], newton._passed
+    monkeypatch.setattr(newton, "_passed", lambda rows, *args: seen.append(sum(m[2] for m in args[3].values())) or passed(rows, *args))
+    models, passes = L.fit_grid(df, systems)
+    assert passes <= many and seen[-passes] == 0  # the pass over all rows starts from the sample's Hessians
+    for key, model in models.items():
+        assert np.allclose([*model.coefficients, model.intercept], [*whole[key].coefficients, whole[key].intercept], atol=1e-6), key
+
+
+def test_many_models_score_as_one(spark):
+    df = table(spark, 300).withColumn("y", F.when(F.col("pair_id") != "p3", F.col("y")))
+    models = {f"m{i}": L.Linear(("x", "y", "flat"), (2.0, 0.1, 6.0), (3.0, 0.9, 1.0), (0.3 * i, -0.2, 0.1), 0.4) for i in range(30)}
+    got = L.scored_by(df, models, ["pair_id", "label"])
+    one = {s: {r.pair_id: r.score for r in L.scored_by(df, {s: m}, ["pair_id"]).collect()} for s, m in models.items()}
+    rows = got.collect()
+    assert got.columns == ["pair_id", "label", "system", "score"] and len(rows) == 9_000
+    for r in rows:
+        assert (r.score is None and r.pair_id == "p3") if one[r.system][r.pair_id] is None else r.score == pytest.approx(one[r.system][r.pair_id], abs=1e-15)
+    assert "Generate" not in got._jdf.queryExecution().toString()
