@@ -95,3 +95,12 @@ def test_slot_mask_names_every_slot(spark):
     assert all(masks[r["pair_id"], r["system"]] == sum(1 << i for i, s in enumerate(slots) if fits(r, s)) for r in rows)
     with pytest.raises(ValueError, match="at most 63"):
         R.slot_mask(slots * 6)
+
+
+def test_second_diagnosis_forms_the_pairs_once(spark, monkeypatch):
+    from pairloom.plans import review_jobs, views
+
+    made = []
+    pairs = views.pairs
+    monkeypatch.setattr(views, "pairs", lambda *args: made.append(1) or pairs(*args))
+    assert "diagnosis" in review_jobs.two_system_errors(spark, "/root/testdata/sf0.001").columns and len(made) == 1
