@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import fresh_path
-from .common import raw_column, unused
+from .common import raw_column, slices, unused
 from .cuckoo import CuckooFilter, build
 
 MIN_CHARS = 20
@@ -53,7 +53,7 @@ def line_postings(docs: DataFrame) -> DataFrame:
     source = docs.where("doc_id IS NOT NULL").select("doc_id", F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows, keys, numbers, ends = [], [], [], [0]
             for row, text in enumerate(raw_column(batch, "text")):
                 found: dict[bytes, list[int]] = {}
@@ -225,7 +225,7 @@ def keep_lines(docs: DataFrame, state: LineState, added: tuple[str, str, str] =
     joined = docs.join(dropped_lines(state).withColumnRenamed("dropped", gone_name), "doc_id", "left").select(*own, gone_name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             kept, n_lines, n_dropped = [], [], []
             for text, gone in zip(raw_column(batch, "text"), batch.column(gone_name).to_pylist()):
                 lines = text.split(b"\n")

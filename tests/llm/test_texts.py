@@ -7,9 +7,10 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from pairloom.llm import decontaminate, html_extract, license_scan, mixing, quality_rules
+from pairloom.llm import common, decontaminate, html_extract, license_scan, mixing, quality_rules
 from pairloom.llm.fm_index import FMIndex
 from pairloom.llm.license_rules import BASE, rules
 from pairloom.llm.queries import ORACLES, QUERIES
@@ -315,3 +316,15 @@ def test_queries_match_their_sql(spark, tmp_path):
 
 def test_item_digest():
     assert decontaminate.item_digest(["10", "2", "1"]) == hashlib.sha256(b"1,10,2").hexdigest()
+
+
+def test_workers_take_texts_in_slices_of_bounded_size(monkeypatch):
+    monkeypatch.setattr(common, "SLICE_BYTES", 100)
+    texts = ["x" * 30] * 10 + [None, "y" * 500, ""] + ["z"] * 50
+    batch = pa.RecordBatch.from_pydict({"n": list(range(len(texts))), "text": pa.array(texts, pa.string())})
+    parts = list(common.slices([batch, batch.slice(0, 0), batch.slice(3, 9)]))
+    assert [n for p in parts for n in p.column("n").to_pylist()] == [*range(len(texts)), *range(3, 12)]
+    assert [t for p in parts for t in p.column("text").to_pylist()] == texts + texts[3:12]
+    for part in parts:
+        size = [len(t or "") for t in part.column("text").to_pylist()]
+        assert sum(size) - max(size, default=0) <= 100
