@@ -38,7 +38,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates (five-word shingles, a similarity of
-    0.8 or more, verified) stays, that of the smallest id."""
+    0.8 or more, verified) stays, that of the smallest id. SimHash fingerprints link first,
+    an exact index what is further apart."""
     return near_copies.keep_one_per_class(docs)
 
 

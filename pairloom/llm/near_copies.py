@@ -1,9 +1,12 @@
 """Near copies by the Jaccard similarity of their five-word shingles, all of them.
 
-Two sets of n and m shingles with a similarity of 4/5 or more share one among the first
+SimHash comes first: sets whose fingerprints differ in two bits at most, found by the
+one-wildcard variants of ``simhash``, are verified on the whole sets and linked. At a
+similarity of 4/5 about 10 of 64 bits differ, more than any selective segment of them
+allows, so what the fingerprints leave open goes through an exact index. Two sets of n and m shingles with a similarity of 4/5 or more share one among the first
 n - ceil(4n/5) + 1 of the one and the first m - ceil(4m/5) + 1 of the other, in any order
 that holds for all shingles. So these few are indexed, sets meet in an equality join and
-each candidate is verified on the whole sets. The order puts shingles that are frequent in
+each candidate that the fingerprints have not linked yet is verified as well. The order puts shingles that are frequent in
 a sample last, by their frequency; what it is changes the work, not the result. Hashes of 64 bits stand for
 shingles and for sets.
 """
@@ -19,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
+from . import simhash
 from .common import map_texts, remove, tokens, written
 from .components import connected_components
 
@@ -98,18 +102,19 @@ def _frequent(docs: DataFrame) -> Frequent:
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, name)`` of all rows, and of each distinct set its size, smallest id and prefix."""
+    """``(doc_id, name)`` of all rows, and of each distinct set its size, smallest id, fingerprint and prefix."""
     frequent = _frequent(docs)
 
     def run(texts: list[bytes]) -> dict:
         made = [shingle_set(t) for t in texts]
         return {
             "name": (pa.int64(), _names(made)), "n": (pa.int32(), [len(s) for s in made]),
+            "fp": (pa.int64(), np.array([simhash.majority(s) for s in made], np.uint64).view(np.int64)),
             "prefix": (pa.list_(pa.int64()), _longs([prefix(s, frequent) for s in made])),
         }
 
-    prints = stage(map_texts(docs, run, "name long, n int, prefix array<bigint>"), "prints")
-    classes = prints.groupBy("name").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    prints = stage(map_texts(docs, run, "name long, n int, fp long, prefix array<bigint>"), "prints")
+    classes = prints.groupBy("name").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "fp", "prefix")])
     return prints.select("doc_id", "name"), stage(classes, "classes")
 
 
@@ -139,12 +144,32 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
     return found
 
 
+def fingerprint_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(a, b)``: sets with the similarity whose fingerprints differ in two bits at most. Each
+    set is tried with the least set of its fingerprint, and the least sets of linked ones
+    with each other, so sets that share a fingerprint give no pairs."""
+    centres = stage(classes.groupBy("fp").agg(F.min("name").alias("centre")), "centres")
+    same = classes.join(centres, "fp").select(F.col("name").alias("a"), F.col("centre").alias("b"))
+    near = simhash.links(centres.select("fp"))
+    for side in "ab":
+        near = near.join(centres.select(F.col("fp").alias(side), F.col("centre").alias(f"centre_{side}")), side)
+    return _verified(docs, classes, _ordered(same.unionByName(near.select(F.col("centre_a").alias("a"), F.col("centre_b").alias("b")))))
+
+
+def _with_roots(classes: DataFrame, linked: DataFrame) -> DataFrame:
+    """``classes`` with ``root``, the least of a set and those linked to it. Sets with the
+    same root are connected."""
+    around = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = around.groupBy(F.col("a").alias("name")).agg(F.min("b").alias("root"))
+    return classes.join(least, "name", "left").withColumn("root", F.least("name", "root"))
+
+
 def _crowded_pairs(crowded: DataFrame, links: DataFrame) -> DataFrame:
     """What the centres left: pairs of a bucket that are not connected yet. All but the
     members of its largest component meet those members of other components whose places
     allow it; texts that only share a passage have it at the end and do not meet."""
     found = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("name"), F.col("component").alias("root"))
-    members = stage(crowded.join(found, "name", "left").select("key", "name", "n", "place", F.coalesce("root", "name").alias("root")), "members")
+    members = stage(crowded.drop("root").join(found, "name", "left").select("key", "name", "n", "place", F.coalesce("root", "name").alias("root")), "members")
     largest = members.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root"))["root"].alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     open_ = members.join(largest, "key")
     outside = _side(open_.where("root != most").withColumn("root_a", F.col("root")), "a", "root_a", "most")
@@ -153,11 +178,13 @@ def _crowded_pairs(crowded: DataFrame, links: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """``(a, b)``: pairs of sets with the similarity, enough to connect all such pairs."""
+    linked = fingerprint_links(docs, classes)
     same = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    placed = classes.select("name", "n", F.posexplode("prefix").alias("place", "key"))
+    placed = _with_roots(classes, linked).select("name", "n", "root", F.posexplode("prefix").alias("place", "key"))
     shared, at_shared = written(placed.withColumn("size", same).where("size > 1"), "buckets")
     small, crowded = (shared.where(F.col("size") <= PAIRED_BUCKET), shared.where(F.col("size") > PAIRED_BUCKET))
-    met = _side(small, "a").join(_side(small, "b"), "key").where(f"a < b AND {NEAR}")
+    left, right = (F.col("root").alias(f"root_{side}") for side in "ab")
+    met = _side(small, "a", left).join(_side(small, "b", right), "key").where(f"a < b AND root_a != root_b AND {NEAR}")
     pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.bool_or(F.expr(FITS)).alias("fits"))
     # Two centres for each crowded bucket, mostly the same ones in all buckets of a group. A
     # copy's own changes are rare and come first in its prefix; the text that the others were
@@ -171,10 +198,10 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     reach = f"{SHARE + OF} * (c + least(coalesce(m_a, 0L), coalesce(m_b, 0L)) + {rest}) >= {SHARE} * (n_a + n_b)"
     # in crowded buckets alone the pair may fit too, so only pairs without any must fit here
     pairs = pairs.where(f"{reach} AND (fits OR (m_a > 0 AND m_b > 0))").select("a", "b")
-    centre = F.array(F.max(F.struct("m", "name", "n", "place")).dropFields("m"), F.min(F.struct(F.xxhash64("name"), "name", "n", "place")).dropFields("col1"))
+    centre = F.array(F.max(F.struct("m", "name", "n", "place", "root")).dropFields("m"), F.min(F.struct(F.xxhash64("name"), "name", "n", "place", "root")).dropFields("col1"))
     centres = crowded.join(most, "name").groupBy("key").agg(F.explode(F.array_distinct(centre)).alias("c")).select("key", "c.*")
-    stars = _side(crowded, "a").join(_side(centres, "b"), "key").where(MEETS)
-    found = _verified(docs, classes, _ordered(pairs.unionByName(stars.select("a", "b"))))
+    stars = _side(crowded, "a", left).join(_side(centres, "b", right), "key").where(f"root_a != root_b AND {MEETS}")
+    found = linked.unionByName(_verified(docs, classes, _ordered(pairs.unionByName(stars.select("a", "b")))))
     if not crowded.isEmpty():
         found = found.unionByName(_verified(docs, classes, _crowded_pairs(crowded, found)))
     remove(docs.sparkSession, at_shared)

@@ -29,6 +29,15 @@ PAIRED_BUCKET = 64
 _CHUNK = 1 << 16
 
 
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each set if over half of the 64-bit hashes have it; of none 0."""
+    votes = np.zeros(64, np.int64)
+    for start in range(0, len(hashes), _CHUNK):
+        bits = np.unpackbits(hashes[start : start + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        votes += np.add.reduce(bits, axis=0, dtype=np.int32)
+    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(raw: bytes) -> int:
     """The 64-bit SimHash of a text: a bit is set if over half the shingle hashes have it."""
     parts = tokens(raw)
@@ -38,13 +47,7 @@ def fingerprint(raw: bytes) -> int:
         shingles = [b" ".join(parts)]
     else:
         shingles = list(map(b" ".join, zip(parts, parts[1:], parts[2:])))
-    votes = np.zeros(64, np.int64)
-    for start in range(0, len(shingles), _CHUNK):
-        piece = shingles[start : start + _CHUNK]
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, piece, repeat(SEED)), np.uint64, len(piece))
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes += np.add.reduce(bits, axis=0, dtype=np.int32)
-    return int(np.packbits(votes * 2 > len(shingles), bitorder="little").view(np.uint64)[0])
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles)))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -212,6 +212,36 @@ def test_pipeline_stage_drops_near_copies_beyond_two_bits(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
 
 
+def test_fingerprints_link_first(spark):
+    draw = random.Random(5)
+    rows = []
+    for i in range(12):
+        words = [f"w{draw.randrange(5000)}" for _ in range(300)]
+        rows += [(100 * i + 1, " ".join(words)), (100 * i + 2, " ".join([*words[:-1], "other"])), (100 * i + 3, " ".join([*words[:-9], *["else"] * 9]))]
+    sets = {int(near_copies._names([near_copies.shingle_set(t.encode())])[0]): near_copies.shingle_set(t.encode()) for _, t in rows}
+    prints = {name: simhash.majority(s) for name, s in sets.items()}
+    near = {(a, b) for a, b in combinations(sorted(sets), 2) if bin(prints[a] ^ prints[b]).count("1") <= 2 and len(np.intersect1d(sets[a], sets[b])) * 5 >= 4 * len(np.union1d(sets[a], sets[b]))}
+    assert len(near) > 5 and len(set(prints.values())) > 12
+    _, classes = near_copies._classes(docs_of(spark, rows))
+    linked = near_copies.fingerprint_links(docs_of(spark, rows), classes)
+    got = {(r.a, r.b) for r in linked.collect()}
+    # sets of one fingerprint go by their least, so all are connected but not all are pairs
+    assert got <= near
+    assert plain_classes_of(near) == plain_classes_of(got)
+    roots = {r["name"]: r["root"] for r in near_copies._with_roots(classes, linked).collect()}
+    joined = plain_classes_of(got)
+    assert set(roots) == set(sets) and all(joined.get(n, n) == joined.get(r, r) for n, r in roots.items())
+    assert sum(n != r for n, r in roots.items()) > 5
+
+
+def plain_classes_of(pairs):
+    parent = {x: x for p in pairs for x in p}
+    for _ in parent:
+        for a, b in pairs:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    return parent
+
+
 def test_components_of_paths_stars_and_nothing(spark):
     path = [(n, n + 1) for n in range(-40, 40)]
     star = [(1000, 1000 + n) for n in range(1, 50)]
