@@ -310,3 +310,32 @@ def test_ranking_by_pieces_and_heavy_weights(spark, monkeypatch):
         assert (row["positives"], row["negatives"]) == (w[y == 1].sum(), w[y == 0].sum())
         assert row["auroc"] == pytest.approx(brute_auroc(y, v, w), abs=1e-10)
         assert row["average_precision"] == pytest.approx(brute_ap(y, v, w), abs=1e-10)
+
+
+def test_matrix_sends_each_step_once_per_block_of_the_other_side(spark, monkeypatch):
+    """Not once per tile: what is shuffled grows with the blocks, whatever the tiles in them."""
+    n = 600
+    df = spark.range(8 * n).selectExpr("'A' AS system", f"id % {n} AS cluster_id", "CAST(id % 7 < 3 AS INT) AS label", "CAST(pmod(id * 7919, 997) AS DOUBLE) / 10 AS score")
+    expected = sorted(map(tuple, B.cluster_auc_matrix(df).collect()))
+    monkeypatch.setattr(B, "TILE_CLUSTERS", 16)
+    monkeypatch.setattr(B, "MATRIX_GRID", 2)
+    sent = []
+    packed = B._packed_steps
+    monkeypatch.setattr(B, "_packed_steps", lambda steps, side, blocks: sent.append(blocks) or packed(steps, side, blocks))
+    assert sorted(map(tuple, B.cluster_auc_matrix(df).collect())) == expected
+    assert sent == [2, 2] and len(expected) > 100_000
+
+
+def test_tile_with_crowded_and_equal_scores(monkeypatch):
+    draw = np.random.default_rng(5)
+    monkeypatch.setattr(B, "TILE_STEPS", 9)
+    for kinds in (1, 4, 300):
+        at, neg_at = (np.r_[draw.integers(0, kinds, n) / 7, np.full(40, 0.5)] for n in (150, 220))
+        pos, neg = draw.integers(1, 5000, len(at)), draw.integers(1, 5000, len(neg_at))
+        i, j = draw.integers(0, 6, len(at)), draw.integers(0, 4, len(neg_at))
+        for own in (0.0, 0.5):
+            expected = np.zeros((6, 4))
+            np.add.at(expected, (i[:, None], j), pos[:, None] * neg * ((at[:, None] > neg_at) + own * (at[:, None] == neg_at)))
+            for levels in (2, 512):
+                monkeypatch.setattr(B, "TILE_LEVELS", levels)
+                assert np.array_equal(B._tile_wins(at, i, pos, neg_at, j, neg, (6, 4), own), expected)
