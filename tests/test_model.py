@@ -169,3 +169,27 @@ def test_many_models_score_as_one(spark):
     for r in rows:
         assert (r.score is None and r.pair_id == "p3") if one[r.system][r.pair_id] is None else r.score == pytest.approx(one[r.system][r.pair_id], abs=1e-15)
     assert "Generate" not in got._jdf.queryExecution().toString()
+
+
+def test_packed_store_gives_the_same_lock_and_holds_each_row_once(spark, tmp_path):
+    df = table(spark).withColumn("y", F.when(F.col("split") != "test", F.col("y")).otherwise(F.when(F.col("x") > 0, F.col("y"))))
+    systems, grid = {"one": ["x"], "two": ["y", "x"]}, (0.1, 1.0)
+    plain = L.SealedSplits.store(df, str(tmp_path / "plain"))
+    held = L.sweep(plain.fitting(spark), systems, grid)
+    expected = plain.scored_test(spark, held, ["label"])
+    store = L.PackedSplits.store(df, str(tmp_path / "packed"), ["x", "y"])
+    stored = spark.read.parquet(store.path)
+    assert stored.groupBy("split").agg((F.sum(F.length("y")) / 8).cast("int").alias("n")).count() == df.select("split").distinct().count()
+    assert stored.agg(F.sum(F.length("y")) / 8).first()[0] == df.count()
+    with pytest.raises(PermissionError):
+        store.scored_test(spark, held.models["one"])
+    ours = store.sweep(spark, systems, grid)
+    assert not (tmp_path / "packed" / "split=train").exists()  # read to the end, then deleted
+    for s, m in held.models.items():
+        assert ours.models[s].regularization == m.regularization
+        assert ours.models[s].coefficients == pytest.approx(m.coefficients, abs=1e-6)
+        assert (ours.f1[s], ours.recall[s]) == pytest.approx((held.f1[s], held.recall[s]), abs=1e-6)
+    key = lambda r: (r["system"], r["score"] is None, r["score"] or 0.0, r["label"])
+    a, b = (sorted(d.collect(), key=key) for d in (expected, store.scored_test(spark, ours)))
+    assert [(r["system"], r["label"], r["recall_match"]) for r in a] == [(r["system"], r["label"], r["recall_match"]) for r in b]
+    assert any(r["score"] is None for r in b) and [r["score"] is None for r in a] == [r["score"] is None for r in b]
