@@ -235,3 +235,32 @@ def test_stages_keep_columns_of_any_name(spark):
         got = out.collect()
         assert {r.doc_id for r in got} >= {1, 2, None}, name
         assert all(r[c] == (f"{c}{r.doc_id}" if r.doc_id is not None else c) for r in got for c in odd)
+
+
+def test_each_previous_word_is_a_context_of_its_own(spark, monkeypatch):
+    """Every first word has one follower. After another's follower all that is left is the back-off,
+    whichever first word it was, and however the contexts are named."""
+    n = 12_000
+    texts = [(i, f"first{i} next{i}") for i in range(n)] + [(n + i, f"first{i} next{(i + 1) % n}") for i in range(n)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(language_model, "SHARD_TOKENS", 20_000)
+    found = {}
+    for least in (1, 2, 1 << 40):  # all are listed, those that a block has twice, none
+        monkeypatch.setattr(language_model, "LISTED_COUNT", least)
+        found[least] = {r["doc_id"]: r["score"] for r in language_model.score(docs, docs.doc_id < n).collect()}
+        held = [found[least][n + i] for i in range(n)]
+        assert max(held) - min(held) < 1e-6 and min(found[least][i] for i in range(n)) > max(held)
+    assert all(math.isclose(found[least][i], s, rel_tol=1e-6) for least in (2, 1 << 40) for i, s in found[1].items())
+
+
+def test_tables_of_contexts_that_are_not_listed_are_those_of_all_shards(spark, monkeypatch):
+    """With many shards a context's tables are summed over all, for seating and for scores."""
+    rng = np.random.default_rng(2)
+    texts = [(i, " ".join(f"w{int(k)}" for k in rng.zipf(1.3, 40) % 500)) for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(language_model, "SHARD_TOKENS", 1_000)
+    totals = {}
+    for least in (1, 1 << 40):
+        monkeypatch.setattr(language_model, "LISTED_COUNT", least)
+        totals[least] = sum(r["score"] for r in language_model.score(docs, docs.doc_id % 5 > 0).collect())
+    assert math.isclose(totals[1], totals[1 << 40], rel_tol=2e-3)
